@@ -15,12 +15,13 @@ from spellpanel.session import stage
 MAX_ROWS_PER_KEY = 1_000_000
 
 
-def keys_over(df: DataFrame, key: str, max_rows: int) -> DataFrame | None:
+def keys_over(df: DataFrame, keys: str | Sequence[str], max_rows: int) -> DataFrame | None:
     """Keys with more rows than the bound, or None when there are none.
 
-    One pruned pass over the key column; counts combine before the shuffle.
+    One pruned pass over the key columns; counts combine before the shuffle.
     """
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(key)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*keys)
     return None if hot.isEmpty() else hot
 
 
@@ -123,6 +124,30 @@ def dense_group_id(df: DataFrame, keys: Sequence[str], order: Sequence[str], nam
     return join_null_safe(df, numbered, keys, "left")
 
 
+def row_in_group(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    max_rows_per_key: int | None = MAX_ROWS_PER_KEY,
+) -> DataFrame:
+    """1-based row number within each group, in a total order.
+
+    A window while every group fits the bound; otherwise the global position
+    minus the group's first position, which no single task has to hold.
+    """
+    if max_rows_per_key is None or keys_over(df, keys, max_rows_per_key) is None:
+        w = Window.partitionBy(*keys).orderBy(*nulls_last(order))
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    placed = with_position(df, [*keys, *order], "_position")
+    starts = placed.groupBy(*keys).agg(F.min("_position").alias("_start"))
+    return (
+        join_null_safe(placed, starts, keys, "left")
+        .withColumn(name, F.col("_position") - F.col("_start") + 1)
+        .drop("_position", "_start")
+    )
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep each key's first row in a total order; copies combine before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
