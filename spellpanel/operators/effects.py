@@ -188,7 +188,7 @@ def covariate_slope(cells: DataFrame) -> DataFrame:
 
 def slopes(cells: DataFrame, rank: int = 0) -> DataFrame:
     """Covariate slopes (model, position, slope) at a given number of factors."""
-    sol = solve_models(control_gram(cells), [rank])
+    sol = solve_models(control_gram(cells), [rank]).groupBy("model").agg(F.max("b").alias("b"))
     return sol.select("model", F.posexplode("b").alias("pos", "slope")).withColumn("pos", F.col("pos") + 1)
 
 
@@ -407,7 +407,9 @@ def fit_sweep(cells: DataFrame, max_rank: int = MAX_RANK, rank: int | None = Non
     ranks = range(max_rank + 1) if rank is None else [rank]
     solution = stage(solve_models(control_gram(cells), ranks), "factors")
     fits = stage(treated_fits(cells, solution), "treated_fits")
-    best = choose_rank(fits)
+    sizes = panel_sizes(cells)
+    usable = sizes.filter("Ntr > 0 and N - Ntr >= 2").select("model")
+    best = choose_rank(fits).join(usable, "model", "left_semi")
     chosen = fits.join(best.select("model", "r"), ["model", "r"], "left_semi")
     fit_cells = chosen.select(
         "model",
@@ -421,7 +423,6 @@ def fit_sweep(cells: DataFrame, max_rank: int = MAX_RANK, rank: int | None = Non
     spread = solution.groupBy("model", "r").agg(
         F.max("sse").alias("sse"), F.max("n_co").alias("n_co"), F.max(F.size("b")).alias("k"), F.max("status").alias("solved")
     )
-    sizes = panel_sizes(cells)
     failed = spread.filter("solved <> 'ok'").select("model", F.col("solved").alias("error"))
     free = F.expr("(n_co - 1) * (T - 1) - r * (n_co + T - r) - k")
     meta = (

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spellpanel.functions.normal import two_sided_p, z_value
 from spellpanel.functions.nulls import ratio
+from spellpanel.session import stage
 
 # Column order of the inference table and the key months.
 INFERENCE_LAYOUT = [
@@ -182,8 +183,6 @@ def still_observed(units: DataFrame, meta: DataFrame, times: DataFrame) -> DataF
     Unit counts per post length are accumulated from the longest down, so no
     unit is paired with every time.
     """
-    from pyspark.sql import Window
-
     lengths = (
         units.join(meta.select("model", "T"), "model")
         .groupBy("model", (F.col("T") - F.col("T0")).alias("event_time"))
@@ -201,139 +200,137 @@ def span_label(first: Column, last: Column) -> Column:
     return F.concat(first.cast("string"), F.lit(" - "), last.cast("string"))
 
 
-def _period_length(pre: Column, post: Column) -> Column:
-    return F.when(F.col("period") == "pre", pre).otherwise(post)
+LEVELS = ["overall", "time", "key", "unit", "unit_key", "cell"]
+_NO_TIME = 0  # event time of levels that span several times; zero is never used
 
 
-def inference_levels(
-    fit: dict[str, DataFrame],
-    boot: DataFrame,
-    weights: DataFrame | None,
-    window: KeyWindow,
-) -> dict[str, DataFrame]:
-    """Estimates and standard errors at the six levels.
+def _two_spans(df: DataFrame, keys: Sequence[str], levels: tuple[str, str], measures: Sequence[str]) -> DataFrame:
+    """Split ``c`` / ``c_key`` column pairs into a whole-period and a key-window row."""
 
-    Levels: ``overall`` / ``time`` / ``key`` pooled over units, then
-    ``unit`` / ``unit_key`` / ``cell`` by unit.
-    """
-    units, meta = fit["fit_units"], fit["fit_meta"]
-    cells = with_weights(stagger(fit["fit_cells"], units), weights)
-    draws = stagger_draws(boot, cells)
-    weighted = weights is not None
-    frame = model_frame(units, meta)
-    key = window.holds()
+    def row(level: str, suffix: str) -> Column:
+        return F.struct(F.lit(level).alias("level"), *[F.col(c + suffix).alias(c) for c in measures])
 
-    by_time = effect_means(cells, "event_time", weighted)
-    by_unit = effect_means(cells, "unit", weighted)
-    draws_by_time = draw_means(draws, ["event_time"])
-    observed = still_observed(units, meta, cells)
-    full_pre, full_post = F.col("max_t0"), F.col("T") - F.col("min_t0")
-    own_pre, own_post = F.col("T0"), F.col("T") - F.col("T0")
+    spans = F.explode(F.array(row(levels[0], ""), row(levels[1], "_key")))
+    out = df.select(*keys, spans.alias("s")).select("s.level", *keys, *[f"s.{c}" for c in measures])
+    return out.withColumn("event_time", F.lit(_NO_TIME))
 
-    def pooled_over_times(condition: Column | None) -> DataFrame:
-        est, dr = by_time, draws_by_time
-        if condition is not None:
-            est, dr = est.filter(condition), dr.filter(condition)
-        return mean_of_means(est).join(spread(draw_means(dr, []), []), ["model", "period"])
 
-    in_window = observed.filter(F.col("event_time") == window.last).select(
-        "model", F.col("n_observed").alias("at_window")
+def level_estimates(cells: DataFrame, weighted: bool, window: KeyWindow) -> DataFrame:
+    """Effect, observed and counterfactual means of all six levels, one long table.
+
+    Pooled rows average the per-time means; a unit's whole-period row uses
+    weighted observed outcomes, its key-window row unweighted ones.
+    """
+    measures = ["att_mean", "out_tr", "out_ct"]
+    key = window.holds()
+    by_time = effect_means(cells, "event_time", weighted)
+    pooled = by_time.groupBy("model", "period").agg(
+        *[F.avg(c).alias(c) for c in measures],
+        *[F.avg(F.when(key, F.col(c))).alias(f"{c}_key") for c in measures],
     )
-    key_label = F.when(
-        F.col("period") == "pre", span_label(F.lit(-window.first), F.lit(-window.last))
-    ).otherwise(span_label(F.lit(window.first), F.lit(window.last)))
-    all_label = F.when(F.col("period") == "pre", span_label(F.lit(-1), -F.col("max_t0"))).otherwise(
-        span_label(F.lit(1), F.col("T") - F.col("min_t0"))
+    raw = {"att_mean": "eff", "out_tr": "y_tr", "out_ct": "y_ct"}
+    by_unit = (
+        cells.groupBy("model", "period", "unit")
+        .agg(
+            F.avg("eff").alias("att_mean"),
+            _observed_mean(weighted).alias("out_tr"),
+            *[F.avg(F.when(key, F.col(v))).alias(f"{c}_key") for c, v in raw.items()],
+        )
+        .withColumn("out_ct", F.col("out_tr") - F.col("att_mean"))
     )
+    head = ["level", "model", "period", "unit", "event_time"]
+    parts = [
+        by_time.withColumns({"level": F.lit("time"), "unit": F.lit(POOLED)}),
+        _two_spans(pooled, ["model", "period"], ("overall", "key"), measures).withColumn("unit", F.lit(POOLED)),
+        _two_spans(by_unit, ["model", "period", "unit"], ("unit", "unit_key"), measures),
+        cells.select(
+            F.lit("cell").alias("level"), "model", "period", "unit", "event_time",
+            *[F.col(v).alias(c) for c, v in raw.items()],
+        ),
+    ]
+    return _bind([p.select(*head, *measures) for p in parts]).filter("att_mean is not null")
+
+
+def level_spreads(draws: DataFrame, window: KeyWindow) -> DataFrame:
+    """Standard errors of all six levels, one long table.
 
-    def finish(df: DataFrame, level: str, time: Column, length: Column, size_tr: Column) -> DataFrame:
-        if "unit" not in df.columns:
-            df = df.withColumn("unit", F.lit(POOLED))
-        size = F.when(F.col("period") == "pre", 0).otherwise(F.coalesce(size_tr, F.lit(0)))
-        return df.select(
-            "model",
-            F.lit(level).alias("level"),
-            "period",
-            "comparator",
-            time.alias("time"),
-            "unit",
-            "att_mean",
-            "att_se",
-            "out_tr",
-            "out_ct",
-            "out_ct_se",
-            "sigma2",
-            F.col("r_cv").alias("size_fct"),
-            length.cast("int").alias("size_period"),
-            size.cast("int").alias("size_tr"),
-            (F.col("N") - size).cast("int").alias("size_ct"),
+    Each draw is averaged the way its level averages the estimates, then the
+    standard deviation is taken over draws.
+    """
+    key = window.holds()
+
+    def means(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        return df.groupBy("model", "period", *by, "draw").agg(
+            *[F.avg(c).alias(c) for c in ("eff", "ct")],
+            *[F.avg(F.when(key, F.col(c))).alias(f"{c}_key") for c in ("eff", "ct")],
         )
 
-    overall = finish(
-        pooled_over_times(None).join(frame, "model"),
-        "overall", all_label, _period_length(full_pre, full_post), F.col("Ntr"),
-    )
-    time = finish(
-        by_time.join(spread(draws_by_time, ["event_time"]), ["model", "period", "event_time"])
-        .join(frame, "model")
-        .join(observed, ["model", "event_time"], "left"),
-        "time", F.col("event_time").cast("string"), _period_length(full_pre, full_post), F.col("n_observed"),
-    )
-    key_level = finish(
-        pooled_over_times(key).join(frame, "model").join(in_window, "model", "left"),
-        "key", key_label, F.least(_period_length(full_pre, full_post), F.lit(window.length)), F.col("at_window"),
-    )
+    def both(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        return df.groupBy("model", "period", *by).agg(
+            F.stddev_samp("eff").alias("att_se"),
+            F.stddev_samp("ct").alias("out_ct_se"),
+            F.stddev_samp("eff_key").alias("att_se_key"),
+            F.stddev_samp("ct_key").alias("out_ct_se_key"),
+        )
 
-    unit_draws = draws.groupBy("model", "period", "unit", "draw").agg(
-        F.avg("eff").alias("eff"),
-        F.avg("ct").alias("ct"),
-        F.avg(F.when(key, F.col("eff"))).alias("eff_key"),
-        F.avg(F.when(key, F.col("ct"))).alias("ct_key"),
-    )
-    unit_spread = unit_draws.groupBy("model", "period", "unit").agg(
-        F.stddev_samp("eff").alias("att_se"),
-        F.stddev_samp("ct").alias("out_ct_se"),
-        F.stddev_samp("eff_key").alias("att_se_key"),
-        F.stddev_samp("ct_key").alias("out_ct_se_key"),
-    )
-    unit_frame = frame.join(units, "model")
-    unit_level = finish(
-        by_unit.join(unit_spread.drop("att_se_key", "out_ct_se_key"), ["model", "period", "unit"])
-        .join(unit_frame, ["model", "unit"]),
-        "unit", all_label, _period_length(own_pre, own_post), F.col("Ntr"),
-    )
-    unit_key_means = cells.filter(key).groupBy("model", "period", "unit").agg(
-        F.avg("eff").alias("att_mean"), F.avg("y_tr").alias("out_tr"), F.avg("y_ct").alias("out_ct")
+    measures = ["att_se", "out_ct_se"]
+    by_time = draw_means(draws, ["event_time"])
+    head = ["level", "model", "period", "unit", "event_time"]
+    parts = [
+        spread(by_time, ["event_time"]).withColumns({"level": F.lit("time"), "unit": F.lit(POOLED)}),
+        _two_spans(both(means(by_time, []), []), ["model", "period"], ("overall", "key"), measures).withColumn(
+            "unit", F.lit(POOLED)
+        ),
+        _two_spans(
+            both(means(draws, ["unit"]), ["unit"]), ["model", "period", "unit"], ("unit", "unit_key"), measures
+        ),
+        spread(draws, ["unit", "event_time"]).withColumn("level", F.lit("cell")),
+    ]
+    return _bind([p.select(*head, *measures) for p in parts])
+
+
+def _bind(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def add_diagnostics(
+    table: DataFrame, fit: dict[str, DataFrame], cells: DataFrame, window: KeyWindow
+) -> DataFrame:
+    """Time label, comparator, residual variance and the four size columns."""
+    units, meta = fit["fit_units"], fit["fit_meta"]
+    frame = model_frame(units, meta)
+    observed = still_observed(units, meta, cells)
+    is_key = F.col("level").isin("key", "unit_key")
+    one_time = F.col("level").isin("time", "cell")
+    pre = F.col("period") == "pre"
+    table = (
+        table.join(frame, "model")
+        .join(units, ["model", "unit"], "left")
+        .withColumn("_look", F.when(is_key, window.last).otherwise(F.abs("event_time")))
+        .join(observed.withColumnRenamed("event_time", "_look"), ["model", "_look"], "left")
     )
-    unit_key = finish(
-        unit_key_means.join(
-            unit_spread.select(
-                "model", "period", "unit",
-                F.col("att_se_key").alias("att_se"), F.col("out_ct_se_key").alias("out_ct_se"),
-            ),
-            ["model", "period", "unit"],
-        )
-        .join(unit_frame, ["model", "unit"])
-        .join(in_window, "model", "left"),
-        "unit_key", key_label, F.least(_period_length(own_pre, own_post), F.lit(window.length)), F.col("at_window"),
+    length = F.when(pre, F.coalesce("T0", "max_t0")).otherwise(
+        F.col("T") - F.coalesce("T0", "min_t0")
     )
-    cell_spread = draws.groupBy("model", "period", "unit", "event_time").agg(
-        F.stddev_samp("eff").alias("att_se"), F.stddev_samp("ct").alias("out_ct_se")
+    size = F.when(pre, 0).when(is_key | one_time, F.coalesce("n_observed", F.lit(0))).otherwise(F.col("Ntr"))
+    sign = F.when(pre, -1).otherwise(1)
+    reach = F.when(pre, F.col("max_t0")).otherwise(F.col("T") - F.col("min_t0"))
+    label = (
+        F.when(one_time, F.col("event_time").cast("string"))
+        .when(is_key, span_label(sign * window.first, sign * window.last))
+        .otherwise(span_label(sign, sign * reach))
     )
-    cell = finish(
-        cells.select(
-            "model", "period", "unit", "event_time", "T0",
-            F.col("eff").alias("att_mean"), F.col("y_tr").alias("out_tr"), F.col("y_ct").alias("out_ct"),
-        )
-        .join(cell_spread, ["model", "period", "unit", "event_time"])
-        .join(frame, "model")
-        .join(observed, ["model", "event_time"], "left"),
-        "cell", F.col("event_time").cast("string"), _period_length(own_pre, own_post), F.col("n_observed"),
+    return table.select(
+        "model", "level", "period", "comparator", label.alias("time"), "unit",
+        "att_mean", "att_se", "out_tr", "out_ct", "out_ct_se", "sigma2",
+        F.col("r_cv").alias("size_fct"),
+        F.when(is_key, F.least(length, F.lit(window.length))).otherwise(length).cast("int").alias("size_period"),
+        size.cast("int").alias("size_tr"),
+        (F.col("N") - size).cast("int").alias("size_ct"),
     )
-    return {
-        "overall": overall, "time": time, "key": key_level,
-        "unit": unit_level, "unit_key": unit_key, "cell": cell,
-    }
 
 
 def inference_table(
@@ -345,6 +342,11 @@ def inference_table(
 ) -> DataFrame:
     """All six levels of every model, with intervals, p-values and percent change.
 
+    ``boot`` is read several times, so pass a stored table.  The staggered cells
+    (treated units by months) are staged once; as a stored table their size is
+    known to the planner, which broadcasts them to the draws only if they are
+    small.
+
     Keyed by ``model``, ``level`` and ``period``; :func:`published_layout` gives
     the 22-column form.
     """
@@ -355,10 +357,11 @@ def inference_table(
     else:
         window = KeyWindow.of(key_times)
         check_key_window(window, units, meta)
-    out = None
-    for level in inference_levels(fit, boot, weights, window).values():
-        out = level if out is None else out.unionByName(level)
-    return add_intervals(out, alpha)
+    cells = stage(with_weights(stagger(fit["fit_cells"], units), weights), "staggered_cells")
+    draws = stagger_draws(boot, cells)
+    keys = ["level", "model", "period", "unit", "event_time"]
+    rows = level_estimates(cells, weights is not None, window).join(level_spreads(draws, window), keys, "left")
+    return add_intervals(add_diagnostics(rows, fit, cells, window), alpha)
 
 
 def published_layout(table: DataFrame) -> DataFrame:
