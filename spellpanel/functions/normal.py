@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def z_value(alpha: float) -> float:
@@ -33,6 +34,6 @@ def two_sided_p(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p_exact(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v is not None and v == v else None)

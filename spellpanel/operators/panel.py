@@ -150,6 +150,55 @@ def specialty_stay(spells: DataFrame, uncapped: Sequence[str] = UNCAPPED) -> Dat
     return kept.groupBy(*PANEL_KEY).agg(*specialty_stay_measures(uncapped))
 
 
+def _mean_where(value: Column, where: Column, strict: bool) -> Column:
+    """Share of TRUE among the rows that meet a condition."""
+    n = F.count_if(where)
+    total = F.sum(F.when(where, value.cast("int")))
+    if strict:
+        total = F.when(F.count_if(where & value.isNotNull()) == n, total)
+    return F.try_divide(total.cast("double"), n.cast("double"))
+
+
+def overall_measures(in_range: Column) -> list[Column]:
+    """Count of all spells, and stay and case mix of those in range."""
+    out = [
+        F.count(F.lit(1)).alias("n_activity"),
+        _mean_stay(in_range, STAY_CAP).alias("los_avg"),
+        _day_case(in_range).alias("dc"),
+        _mean_where(F.col("SEX") == 1, in_range, True).alias("sex_male_pct_ec"),
+        _mean_where(F.col("STARTAGE") >= 65, in_range, True).alias("age_65_plus_pct_ec"),
+        _mean_where(in_set("ETHNOS", WHITE_GROUPS), in_range, False).alias("white_pct_ec"),
+    ]
+    for q in range(1, 6):
+        decile = in_set("imd_decile", [2 * q - 1, 2 * q])
+        out.append(_mean_where(decile, in_range, False).alias(f"quintile_{q}_pct_ec"))
+    out.append(_mean_where(F.col("nr_elix_h36") >= 2, in_range, True).alias("comorb_pct"))
+    return out
+
+
+def _panel(
+    spells: DataFrame, features: DataFrame, last_year: int, first_month: str, extra: Sequence[Column]
+) -> DataFrame:
+    known = F.coalesce(F.col("los") >= 0, F.lit(False))
+    in_range = known & (F.col("month") >= F.lit(first_month).cast("date"))
+    counts = with_stay(spells).groupBy(*PANEL_KEY).agg(*overall_measures(in_range), *extra)
+    return (
+        attach_catchment(counts, features, last_year)
+        .withColumn("el_rate", per_thousand("n_activity"))
+        .withColumn("year_month", year_month("month"))
+    )
+
+
+def overall_panel(
+    spells: DataFrame,
+    features: DataFrame,
+    last_year: int = LAST_REFERENCE_YEAR,
+    first_month: str = STAY_FROM,
+) -> DataFrame:
+    """Overall measures only (activity and stay panels together), in one pass."""
+    return _panel(spells, features, last_year, first_month, [])
+
+
 def final_panel(
     spells: DataFrame,
     features: DataFrame,
@@ -164,40 +213,8 @@ def final_panel(
     measures alone.
     """
     known = F.coalesce(F.col("los") >= 0, F.lit(False))
-    in_range = known & (F.col("month") >= F.lit(first_month).cast("date"))
-
-    def mean_where(value: Column, where: Column, strict: bool) -> Column:
-        n = F.count_if(where)
-        total = F.sum(F.when(where, value.cast("int")))
-        if strict:
-            total = F.when(F.count_if(where & value.isNotNull()) == n, total)
-        return F.try_divide(total.cast("double"), n.cast("double"))
-
-    case_mix = [
-        mean_where(F.col("SEX") == 1, in_range, True).alias("sex_male_pct_ec"),
-        mean_where(F.col("STARTAGE") >= 65, in_range, True).alias("age_65_plus_pct_ec"),
-        mean_where(in_set("ETHNOS", WHITE_GROUPS), in_range, False).alias("white_pct_ec"),
-    ]
-    for q in range(1, 6):
-        case_mix.append(
-            mean_where(in_set("imd_decile", [2 * q - 1, 2 * q]), in_range, False).alias(f"quintile_{q}_pct_ec")
-        )
-    case_mix.append(mean_where(F.col("nr_elix_h36") >= 2, in_range, True).alias("comorb_pct"))
-
-    panel = (
-        with_stay(spells)
-        .groupBy(*PANEL_KEY)
-        .agg(
-            F.count(F.lit(1)).alias("n_activity"),
-            _mean_stay(in_range, STAY_CAP).alias("los_avg"),
-            _day_case(in_range).alias("dc"),
-            *case_mix,
-            *specialty_counts(),
-            *specialty_stay_measures(uncapped, known),
-        )
-    )
-    panel = attach_catchment(panel, features, last_year).withColumn("el_rate", per_thousand("n_activity"))
-    return add_specialty_rates(panel).withColumn("year_month", year_month("month"))
+    extra = [*specialty_counts(), *specialty_stay_measures(uncapped, known)]
+    return add_specialty_rates(_panel(spells, features, last_year, first_month, extra))
 
 
 def final_panel_by_joins(

@@ -233,7 +233,8 @@ def flag_recipes_long(
     out = records
     for text, long in ((DIAG_TEXT, dx), (PROC_TEXT, px)):
         wanted = {name: t.pattern for t, name in terms.items() if t.column == text}
-        out = out.join(code_hits(long, wanted), "id", "left")
+        if wanted:
+            out = out.join(code_hits(long, wanted), "id", "left")
     first_code = {DIAG_TEXT: PRIMARY_DIAG, PROC_TEXT: PRIMARY_PROC}
 
     def evidence(t: AnyCode) -> Column:
@@ -242,3 +243,8 @@ def flag_recipes_long(
     pathways, specialties = specialty_columns(recipes, evidence)
     flags = {**(pathways if keep_pathways else {}), **specialties, "hvlc": any_of(specialties.values())}
     return out.withColumns(flags).drop(*terms.values())
+
+
+def flag_one(records: DataFrame, dx: DataFrame, px: DataFrame, recipe: Recipe) -> DataFrame:
+    """One pathway flag from the long code tables; unused tables are not read."""
+    return flag_recipes_long(records, dx, px, [recipe], keep_pathways=True).drop(recipe.specialty, "hvlc")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Spell-building columns of an episode extract.
 EPISODE_COLUMNS = [
@@ -30,29 +29,26 @@ SPELL_LAYOUT = [
 ]
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
+# Declared schemas, as DDL text.
 SCHEMAS = {
-    "code_list": _struct("intermediate STRING"),
-    "area_deprivation": _struct("LSOA11 STRING, imd_decile INT"),
-    "unit_lookup": _struct("trust_code STRING, elective_hub_cat STRING, hub_start_date STRING"),
-    "catchment": _struct(
+    "code_list": "intermediate STRING",
+    "area_deprivation": "LSOA11 STRING, imd_decile INT",
+    "unit_lookup": "trust_code STRING, elective_hub_cat STRING, hub_start_date STRING",
+    "catchment": (
         "procode STRING, year INT, catchment_cat DOUBLE, sex_m_cat DOUBLE, age_00_04_cat DOUBLE,"
         " age_05_14_cat DOUBLE, age_15_24_cat DOUBLE, age_25_64_cat DOUBLE, age_65_74_cat DOUBLE,"
         " age_75_plus_cat DOUBLE, white DOUBLE, rank_1_is_most_deprived INT"
     ),
-    "peer_units": _struct("Procode STRING"),
-    "exclude_units": _struct("PROCODE3 STRING"),
-    "fit_meta": _struct(
+    "peer_units": "Procode STRING",
+    "exclude_units": "PROCODE3 STRING",
+    "fit_meta": (
         "model STRING, T INT, N INT, Ntr INT, sigma2 DOUBLE, r_cv INT, status STRING"
     ),
-    "fit_units": _struct("model STRING, unit STRING, T0 INT"),
-    "fit_cells": _struct(
+    "fit_units": "model STRING, unit STRING, T0 INT",
+    "fit_cells": (
         "model STRING, unit STRING, time INT, y_tr DOUBLE, y_ct DOUBLE, eff DOUBLE, d INT"
     ),
-    "fit_boot": _struct("model STRING, unit STRING, time INT, draw INT, eff DOUBLE"),
+    "fit_boot": "model STRING, unit STRING, time INT, draw INT, eff DOUBLE",
 }
 
 
@@ -95,11 +91,10 @@ def read_lookup(spark: SparkSession, path: str, table: str) -> DataFrame:
     )
 
 
-def read_row_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_row_named_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Quoted CSV whose first column holds row names; short rows are filled with NULL."""
-    full = T.StructType([T.StructField("_row_name", T.StringType()), *schema.fields])
     return (
-        spark.read.schema(full)
+        spark.read.schema(f"_row_name STRING, {schema}")
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", '"')
