@@ -331,7 +331,7 @@ def a16(spark, sf):
 def a17(spark, sf):
     methods = ["11", "12", "13", "21", "81", "2B"]
     e = S.finished_episodes(proxy.episodes(spark, sf)).select("MAINSPEF", "TRETSPEF", "ADMIMETH")
-    wide = e.groupBy("MAINSPEF", "TRETSPEF").pivot("ADMIMETH", methods).agg(F.count("*"))
+    wide = e.groupBy("MAINSPEF", "TRETSPEF").pivot("ADMIMETH", methods).agg(F.count(F.lit(1)))
     return wide.select(
         "MAINSPEF", "TRETSPEF", *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(f"method_{m}") for m in methods]
     )
