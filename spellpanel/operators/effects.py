@@ -397,12 +397,18 @@ def choose_rank(fits: DataFrame) -> DataFrame:
     return best.select("model", F.col("best.r").alias("r"), F.col("best.mspe").alias("mspe"))
 
 
-def fit_sweep(cells: DataFrame, max_rank: int = MAX_RANK, rank: int | None = None) -> dict[str, DataFrame]:
+def fit_sweep(
+    cells: DataFrame,
+    max_rank: int = MAX_RANK,
+    rank: int | None = None,
+    models: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Fit every model in ``cells`` (see :func:`eligible_cells`) in one plan.
 
     The rank is cross-validated over ``0..max_rank`` unless given.  A model
     without treated units, with fewer than two controls or without a usable
-    rank yields a ``fit_meta`` row whose status says so.
+    rank yields a ``fit_meta`` row whose status says so; so does one of the
+    asked-for ``models`` that has no eligible cells at all.
     """
     ranks = range(max_rank + 1) if rank is None else [rank]
     solution = stage(solve_models(control_gram(cells), ranks), "factors")
@@ -444,6 +450,10 @@ def fit_sweep(cells: DataFrame, max_rank: int = MAX_RANK, rank: int | None = Non
             .alias("status"),
         )
     )
+    if models is not None:
+        meta = models.select("model").distinct().join(meta, "model", "left").withColumn(
+            "status", F.coalesce("status", F.lit("failed: no complete units"))
+        )
     units = fit_units(cells).join(best.select("model"), "model", "left_semi")
     return {"fit_meta": meta, "fit_units": units, "fit_cells": fit_cells}
 

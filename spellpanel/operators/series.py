@@ -62,5 +62,6 @@ def delta_labels(table: DataFrame) -> DataFrame:
     return spans.select(
         "cohort", "activity", "outcome", "unit", "kind", "period",
         F.coalesce(own, F.col("time")).alias("span"),
-        signed_percent(F.col("delta_mean")).alias("label"),
+        # an effect that is zero up to floating-point noise has no sign
+        signed_percent(F.round("delta_mean", 6)).alias("label"),
     )

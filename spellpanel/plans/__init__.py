@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["spell_queries", "panel_queries", "effect_queries"]
+MODULES = ["basic_queries", "spell_queries", "panel_queries", "effect_queries"]
 
 
 def registered():

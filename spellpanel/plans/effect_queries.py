@@ -77,7 +77,8 @@ def m02(spark, sf):
 
 @query("m02_all_slopes")
 def m02_all(spark, sf):
-    outcome = E.Outcome("elect", "los.dc_ratio", "dc", "wt_n_activity", chain.STAY_COVARIATES)
+    covariates = ("catchment_cat", "white_pct_ec", "quintile_1_pct_ec")
+    outcome = E.Outcome("elect", "los.dc_ratio", "dc", "wt_n_activity", covariates)
     return E.slopes(chain.eligible(spark, sf, [outcome]))
 
 
@@ -93,7 +94,9 @@ def m04(spark, sf):
         E.Outcome("elect", "los.ip_avg", "los_avg", "wt_n_activity", chain.STAY_COVARIATES),
         E.Outcome("elect", "los.dc_ratio", "dc", "wt_n_activity", chain.STAY_COVARIATES),
     ]
-    return E.fit_sweep(chain.eligible(spark, sf, outcomes))["fit_meta"]
+    cells = stage(chain.cells(spark, sf, outcomes), "cells")
+    kept = stage(E.eligible_cells(cells), "eligible")
+    return E.fit_sweep(kept, models=cells.select("model"))["fit_meta"]
 
 
 @query("m05_choose_rank")
@@ -282,8 +285,8 @@ def g02(spark, sf):
   CASE WHEN level IN ('overall', 'unit') THEN 'overall' ELSE 'key' END AS kind, period,
   CASE WHEN level IN ('key', 'unit_key') THEN time WHEN period = 'pre' THEN '-1 - -' || size_period
        ELSE '1 - ' || size_period END AS span,
-  CASE WHEN delta_mean > 0 THEN printf('+%.1f%%', delta_mean) ELSE printf('%.1f%%', delta_mean) END AS label
-FROM inference WHERE level IN ('overall', 'unit', 'key', 'unit_key')""",
+  CASE WHEN delta > 0 THEN printf('+%.1f%%', delta) ELSE printf('%.1f%%', delta) END AS label
+FROM (SELECT *, round(delta_mean, 6) + CAST(0 AS DOUBLE) AS delta FROM inference) WHERE level IN ('overall', 'unit', 'key', 'unit_key')""",
 )
 def g03(spark, sf):
     return G.delta_labels(_table(spark, sf))
