@@ -59,11 +59,29 @@ def attach_codes(
 def code_hits(long: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     """Per record, one boolean per named pattern: some code of it matches.
 
-    The booleans combine before the shuffle, so a record with any number of
-    codes costs one row; no code list is ever gathered.
+    Patterns are searched once per distinct code, not once per row; the outcome
+    is a bit mask that rows pick up by joining on the code and that combines
+    before the shuffle, so a record with any number of codes costs one short
+    row and no code list is gathered.
     """
-    return long.groupBy("id").agg(
-        *[F.bool_or(matches("code", p)).alias(name) for name, p in patterns.items()]
+    names = list(patterns)
+    groups = [names[i : i + 60] for i in range(0, len(names), 60)]
+    masks = {}
+    for g, group in enumerate(groups):
+        mask = F.lit(0).cast("bigint")
+        for bit, name in enumerate(group):
+            hit = F.when(matches("code", patterns[name]), F.lit(1 << bit).cast("bigint"))
+            mask = mask.bitwiseOR(F.coalesce(hit, F.lit(0).cast("bigint")))
+        masks[f"_m{g}"] = mask
+    known = long.select("code").distinct().withColumns(masks)
+    found = long.join(known, "code").groupBy("id").agg(*[F.bit_or(m).alias(m) for m in masks])
+    return found.select(
+        "id",
+        *[
+            (F.col(f"_m{g}").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0).alias(name)
+            for g, group in enumerate(groups)
+            for bit, name in enumerate(group)
+        ],
     )
 
 

@@ -88,13 +88,15 @@ def next_row(
 def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """1-based position of every row in a total order, over the whole table.
 
-    Range partitioning sorts without a single-task window; the sorted table is
-    staged so the layout cannot change between counting and numbering; only one
-    row count per partition travels through the driver.
+    Range partitioning sorts without a single-task window.  The input is staged
+    because range partitioning first samples it; the sorted table is staged so
+    the layout cannot change between counting and numbering.  Only one row count
+    per partition travels through the driver.
     """
     cols = nulls_last(order)
     laid_out = (
-        df.repartitionByRange(*cols)
+        stage(df, f"{name}-input")
+        .repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
         .withColumn("_pos", F.monotonically_increasing_id())
     )

@@ -92,32 +92,31 @@ def spell_summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """First episode of each spell with the spell's first start and last end."""
     keys = keys or ["spell_id"]
     rest = [c for c in df.columns if c not in keys]
+    order = [c for c in SPELL_ORDER if c not in SPELL_KEY]  # the key is constant within a spell
     out = df.groupBy(*keys).agg(
-        F.min(F.struct(sort_struct(SPELL_ORDER).alias("o"), F.struct(*rest).alias("r"))).alias("f"),
+        F.min(F.struct(sort_struct(order).alias("o"), F.struct(*rest).alias("r"))).alias("f"),
         F.min("EPISTART").alias("spellstartdate"),
         F.max("EPIEND").alias("spellenddate"),
     )
     return out.select(*keys, "f.r.*", "spellstartdate", "spellenddate")
 
 
-def prepared_episodes(
-    episodes: DataFrame, max_rows_per_person: int | None = MAX_ROWS_PER_KEY
-) -> DataFrame:
-    """Finished, flagged, de-duplicated episodes with their effective discharge.
-
-    While no person exceeds the bound, rows move once: partitioned by person and
-    sorted once, the order serves both de-duplication and the next-row fill, and
-    the later spell aggregate needs no further shuffle.  Otherwise copies are
-    combined before the shuffle and large persons are sliced.
-    """
-    flagged = transfer_flag(finished_episodes(episodes)).withColumn(
+def _ready(episodes: DataFrame) -> DataFrame:
+    return transfer_flag(finished_episodes(episodes)).withColumn(
         "DISDATE", drop_sentinels("DISDATE", DATE_SENTINELS)
     )
-    crowded = max_rows_per_person is not None and (
+
+
+def _crowded(episodes: DataFrame, max_rows_per_person: int | None) -> bool:
+    """Whether some person has more finished episodes than one task may hold."""
+    return max_rows_per_person is not None and (
         keys_over(finished_episodes(episodes), PERSON, max_rows_per_person) is not None
     )
-    if crowded:
-        return clean_discharge(dedup_episodes(flagged), max_rows_per_person)
+
+
+def _prepare_by_person(flagged: DataFrame) -> DataFrame:
+    """De-duplicate and fill in one sorted pass per person: an episode repeats the
+    one before it or not, and the next one may lend its discharge date."""
     w = Window.partitionBy(PERSON).orderBy(*nulls_last([*EPISODE_KEY[1:], "EPIKEY"]))
     key = F.struct(*EPISODE_KEY[1:])
     unique = (
@@ -127,6 +126,19 @@ def prepared_episodes(
     return _fill_from_next(unique.withColumn("_next", F.lead(values).over(w)))
 
 
+def prepared_episodes(
+    episodes: DataFrame, max_rows_per_person: int | None = MAX_ROWS_PER_KEY
+) -> DataFrame:
+    """Finished, flagged, de-duplicated episodes with their effective discharge.
+
+    While no person exceeds the bound, rows move once, partitioned by person.
+    Otherwise copies are combined before the shuffle and large persons sliced.
+    """
+    if _crowded(episodes, max_rows_per_person):
+        return clean_discharge(dedup_episodes(_ready(episodes)), max_rows_per_person)
+    return _prepare_by_person(_ready(episodes))
+
+
 def build_spells(
     episodes: DataFrame,
     with_ids: bool = True,
@@ -135,10 +147,29 @@ def build_spells(
     """Episodes to spells: first-episode row, spell span and admission month parts.
 
     Spells are grouped by their key directly; the dense id is numbered on the
-    finished spell table, so no join back to the episodes is needed.
+    finished spell table, so no join back to the episodes is needed.  In the
+    usual case the partitioning by person serves all three steps and the rows
+    move once; with a crowded person, spells are combined before the shuffle.
     """
-    prepared = prepared_episodes(episodes, max_rows_per_person)
-    spells = spell_summary(prepared, SPELL_KEY).withColumns(
+    if _crowded(episodes, max_rows_per_person):
+        prepared = clean_discharge(dedup_episodes(_ready(episodes)), max_rows_per_person)
+        spells = spell_summary(prepared, SPELL_KEY)
+    else:
+        within = Window.partitionBy(*SPELL_KEY)
+        first = within.orderBy(*nulls_last([c for c in SPELL_ORDER if c not in SPELL_KEY]))
+        spells = (
+            _prepare_by_person(_ready(episodes))
+            .withColumns(
+                {
+                    "_place": F.row_number().over(first),
+                    "spellstartdate": F.first("EPISTART").over(first),
+                    "spellenddate": F.max("EPIEND").over(within),
+                }
+            )
+            .filter("_place = 1")
+            .drop("_place")
+        )
+    spells = spells.withColumns(
         {
             "admmnth": F.date_format("ADMIDATE", "MM"),
             "admmyr": F.date_format("ADMIDATE", "yyyy"),

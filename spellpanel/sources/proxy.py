@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(index: Column, values: list[str]) -> Column:
     """Entry ``index`` (0-based) of a literal list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(F.split(F.lit(",".join(values)), ","), (index + 1).cast("int"))
 
 
 def unit_code(nation: Column) -> Column:
@@ -67,14 +67,7 @@ def episodes(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFram
     c = F.col
     order_day = c("o_orderdate").cast("date")
     ship_day = c("l_shipdate").cast("date")
-    key = F.concat_ws(
-        "-",
-        c("l_orderkey").cast("string"),
-        c("l_linenumber").cast("string"),
-        c("l_partkey").cast("string"),
-        c("l_suppkey").cast("string"),
-        F.round(c("l_extendedprice") * 100).cast("bigint").cast("string"),
-    )
+    key = line_key()
     fields = {
         "TOKEN_PERSON_ID": c("o_custkey").cast("string"),
         "EPIKEY": key,
@@ -140,36 +133,68 @@ def spell_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes(spark, sf_dir).select(*EPISODE_COLUMNS)
 
 
+def line_key() -> Column:
+    """Episode key of a line."""
+    return F.concat_ws(
+        "-",
+        F.col("l_orderkey").cast("string"),
+        F.col("l_linenumber").cast("string"),
+        F.col("l_partkey").cast("string"),
+        F.col("l_suppkey").cast("string"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
+    )
+
+
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First line of each order with the record id it stands for.
+
+    Lines are reduced to one per order before they meet the other tables.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    wanted = [F.col("l_partkey"), F.col("l_suppkey"), line_key().alias("EPIKEY")]
+    first = li.groupBy("l_orderkey").agg(F.min(F.struct(line_order_key().alias("o"), *wanted)).alias("f"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return first.join(o, first.l_orderkey == o.o_orderkey).select(
+        F.col("o_orderkey").alias("order_key"),
+        F.col("o_custkey").cast("string").alias("TOKEN_PERSON_ID"),
+        F.concat_ws("_", F.col("o_custkey").cast("string"), "f.EPIKEY").alias("id"),
+        F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate").cast("date")).alias("ADMIDATE"),
+        F.col("f.o").alias("first_line"),
+        "f.l_partkey",
+        "f.l_suppkey",
+    )
+
+
 def coded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order: its first line, with primary codes and attributes."""
-    e = episodes(spark, sf_dir)
-    wanted = ["TOKEN_PERSON_ID", "EPIKEY", "OPERTN_01", "DIAG_01", "MAINSPEF", "TRETSPEF", "PROCODE3", "ADMIDATE"]
-    first = e.groupBy("order_key").agg(F.min(F.struct("line_order", *wanted)).alias("f"))
-    return first.select(
-        F.concat_ws("_", "f.TOKEN_PERSON_ID", "f.EPIKEY").alias("id"),
-        *[F.col(f"f.{n}") for n in wanted if n != "EPIKEY"],
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    first = first_lines(spark, sf_dir)
+    return first.join(s, first.l_suppkey == s.s_suppkey).select(
+        "id",
+        "TOKEN_PERSON_ID",
+        pick(F.col("l_partkey") % 61, PROCEDURES).alias("OPERTN_01"),
+        pick(F.col("l_suppkey") % 20, DIAGNOSES).alias("DIAG_01"),
+        pick(F.col("l_suppkey") % 4, ["101", "120", "500", "110"]).alias("MAINSPEF"),
+        pick(F.col("l_partkey") % 4, ["211", "215", "502", "130"]).alias("TRETSPEF"),
+        unit_code(F.col("s_nationkey")).alias("PROCODE3"),
+        "ADMIDATE",
     )
 
 
 def secondary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long code rows (id, ord, proc, diag): every line of an order but its first,
     filed under the id of the first."""
-    e = episodes(spark, sf_dir).select(
-        "order_key", "line_order", "TOKEN_PERSON_ID", "EPIKEY", "OPERTN_01", "DIAG_01"
-    )
-    first = (
-        e.groupBy("order_key")
-        .agg(F.min(F.struct("line_order", "TOKEN_PERSON_ID", "EPIKEY")).alias("f"))
-        .select(
-            F.col("order_key").alias("k"),
-            F.col("f.line_order").alias("first_line"),
-            F.concat_ws("_", "f.TOKEN_PERSON_ID", "f.EPIKEY").alias("id"),
-        )
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        line_order_key().alias("ord"),
+        pick(F.col("l_partkey") % 61, PROCEDURES).alias("proc"),
+        pick(F.col("l_suppkey") % 20, DIAGNOSES).alias("diag"),
     )
+    first = first_lines(spark, sf_dir).select("order_key", "first_line", "id")
     return (
-        e.join(first, e.order_key == first.k)
-        .filter(F.col("line_order") > F.col("first_line"))
-        .select("id", F.col("line_order").alias("ord"), F.col("OPERTN_01").alias("proc"), F.col("DIAG_01").alias("diag"))
+        li.join(first, li.l_orderkey == first.order_key)
+        .filter(F.col("ord") > F.col("first_line"))
+        .select("id", "ord", "proc", "diag")
     )
 
 
