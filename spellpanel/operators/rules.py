@@ -190,16 +190,25 @@ def any_of(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
 
 
-def specialty_columns(
-    recipes: Iterable[Recipe], code_evidence: Callable[[AnyCode], Column] = on_text
-) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Pathway columns and the specialty columns OR-ed from them."""
-    pathways: dict[str, Column] = {}
-    groups: dict[str, list[Column]] = {}
+def add_flags(
+    df: DataFrame,
+    recipes: Iterable[Recipe],
+    code_evidence: Callable[[AnyCode], Column],
+    keep_pathways: bool,
+) -> DataFrame:
+    """Pathway columns, then specialties from them, then ``hvlc`` from those.
+
+    Each step refers to the columns of the one before, so no rule is evaluated
+    twice.
+    """
+    recipes = list(recipes)
+    names: dict[str, list[str]] = {}
     for r in recipes:
-        pathways[r.name] = compile_rule(r.rule, code_evidence)
-        groups.setdefault(r.specialty, []).append(pathways[r.name])
-    return pathways, {s: any_of(cols) for s, cols in groups.items()}
+        names.setdefault(r.specialty, []).append(r.name)
+    df = df.withColumns({r.name: compile_rule(r.rule, code_evidence) for r in recipes})
+    df = df.withColumns({s: any_of(map(F.col, pathways)) for s, pathways in names.items()})
+    df = df.withColumn("hvlc", any_of(map(F.col, names)))
+    return df if keep_pathways else df.drop(*[r.name for r in recipes])
 
 
 def flag_recipes(df: DataFrame, recipes: Iterable[Recipe], keep_pathways: bool = False) -> DataFrame:
@@ -207,9 +216,7 @@ def flag_recipes(df: DataFrame, recipes: Iterable[Recipe], keep_pathways: bool =
 
     All flags come from one projection over the record's code text.
     """
-    pathways, specialties = specialty_columns(recipes)
-    flags = {**(pathways if keep_pathways else {}), **specialties, "hvlc": any_of(specialties.values())}
-    return df.withColumns(flags)
+    return add_flags(df, recipes, on_text, keep_pathways)
 
 
 def flag_recipes_long(
@@ -240,9 +247,7 @@ def flag_recipes_long(
     def evidence(t: AnyCode) -> Column:
         return F.coalesce(F.col(terms[t]), F.lit(False)) | matches(first_code[t.column], t.pattern)
 
-    pathways, specialties = specialty_columns(recipes, evidence)
-    flags = {**(pathways if keep_pathways else {}), **specialties, "hvlc": any_of(specialties.values())}
-    return out.withColumns(flags).drop(*terms.values())
+    return add_flags(out, recipes, evidence, keep_pathways).drop(*terms.values())
 
 
 def flag_one(records: DataFrame, dx: DataFrame, px: DataFrame, recipe: Recipe) -> DataFrame:
