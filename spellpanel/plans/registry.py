@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spellpanel.plans.sql import with_ctes
-from spellpanel.session import stage_root
+from spellpanel.session import stage_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,4 +40,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for a table that a query writes and reads back."""
-    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"

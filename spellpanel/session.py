@@ -41,12 +41,23 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """This application's own folder below the stage root."""
+    return f"{stage_root(spark)}/spellpanel-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once and read it back.
 
     Cuts the lineage at a point that survives executor loss, and freezes values
     (row positions, random layout) that must not be computed twice.
     """
-    path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the stage tables of this application once nothing reads them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

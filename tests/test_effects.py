@@ -150,7 +150,7 @@ def test_preconditions(fit, boot):
         with pytest.raises(ValueError):
             I.inference_table(fit, boot, None, bad)
     with pytest.raises(ValueError):
-        I.inference_table(fit, boot, None, range(1, 13))  # past the shortest post period
+        I.inference_table(fit, boot, None, range(1, 14))  # past the shortest post period
     for alpha in (0, 1, 1.5):
         with pytest.raises(ValueError):
             I.inference_table(fit, boot, None, range(1, 5), alpha)

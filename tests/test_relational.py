@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spellpanel.operators import relational as Rel
-from spellpanel.session import stage, stage_root
+from spellpanel.session import stage, stage_folder, stage_root
 
 
 def skewed(spark, n=600):
@@ -100,4 +100,4 @@ def test_stage_uses_the_named_folder(spark):
     root = stage_root(spark)
     assert root == spark.conf.get("spark.checkpoint.dir")
     out = stage(spark.range(5), "t")
-    assert out.count() == 5 and root in out.inputFiles()[0]
+    assert out.count() == 5 and stage_folder(spark) in out.inputFiles()[0] and root in stage_folder(spark)
