@@ -17,17 +17,31 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def in_set(c: Column | str, values: Iterable) -> Column:
-    """Membership that is FALSE (never NULL) for a missing value; compares as text."""
+    """Membership that is FALSE (never NULL) for a missing value; compares as text.
+
+    A column given by name is written as one SQL expression: rule sets hold
+    hundreds of codes, and one literal at a time is slow to build.
+    """
     texts = [str(v) for v in values]
     if not texts:
         return F.lit(False)
-    return F.coalesce(as_col(c).cast("string").isin(texts), F.lit(False))
+    if isinstance(c, str):
+        return F.expr(f"coalesce(cast(`{c}` as string) in ({', '.join(map(sql_text, texts))}), false)")
+    return F.coalesce(c.cast("string").isin(texts), F.lit(False))
 
 
 def matches(c: Column | str, pattern: str) -> Column:
     """Regular-expression search that is FALSE for a missing value."""
-    return F.coalesce(as_col(c).rlike(pattern), F.lit(False))
+    if isinstance(c, str):
+        return F.expr(f"coalesce(`{c}` rlike {sql_text(pattern)}, false)")
+    return F.coalesce(c.rlike(pattern), F.lit(False))
 
 
 def any_code(c: Column | str, codes: Iterable[str]) -> Column:

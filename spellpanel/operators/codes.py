@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spellpanel.functions.nulls import matches
+from spellpanel.functions.nulls import sql_text
 from spellpanel.functions.text import clean_codes
 from spellpanel.operators.relational import MAX_ROWS_PER_KEY, positions_to_columns, row_in_group
 
@@ -68,17 +68,16 @@ def code_hits(long: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     groups = [names[i : i + 60] for i in range(0, len(names), 60)]
     masks = {}
     for g, group in enumerate(groups):
-        mask = F.lit(0).cast("bigint")
-        for bit, name in enumerate(group):
-            hit = F.when(matches("code", patterns[name]), F.lit(1 << bit).cast("bigint"))
-            mask = mask.bitwiseOR(F.coalesce(hit, F.lit(0).cast("bigint")))
-        masks[f"_m{g}"] = mask
+        bits = [
+            f"if(code rlike {sql_text(patterns[name])}, {1 << bit}L, 0L)" for bit, name in enumerate(group)
+        ]
+        masks[f"_m{g}"] = F.expr(f"coalesce({' | '.join(bits)}, 0L)")
     known = long.select("code").distinct().withColumns(masks)
     found = long.join(known, "code").groupBy("id").agg(*[F.bit_or(m).alias(m) for m in masks])
     return found.select(
         "id",
         *[
-            (F.col(f"_m{g}").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0).alias(name)
+            F.expr(f"(_m{g} & {1 << bit}L) <> 0L").alias(name)
             for g, group in enumerate(groups)
             for bit, name in enumerate(group)
         ],

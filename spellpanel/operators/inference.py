@@ -163,10 +163,10 @@ def check_key_window(window: KeyWindow, units: DataFrame, meta: DataFrame) -> No
 
 
 def default_window(units: DataFrame, meta: DataFrame) -> KeyWindow:
-    """First half of the shortest post period among the models."""
+    """First half of the shortest post period among the models (at least one month)."""
     reach = units.groupBy("model").agg(F.min("T0").alias("t0")).join(meta, "model")
     post = reach.agg(F.min(F.col("T") - F.col("t0")).alias("p")).first()["p"]
-    return KeyWindow.of(range(1, max(post // 2, 1) + 1))
+    return KeyWindow.of(range(1, max((post or 0) // 2, 1) + 1))
 
 
 def model_frame(units: DataFrame, meta: DataFrame) -> DataFrame:

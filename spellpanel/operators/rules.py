@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spellpanel.functions.nulls import any_code, in_set, matches
+from spellpanel.functions.nulls import any_code, in_set, matches, sql_text
 from spellpanel.functions.text import expand_codes
 from spellpanel.operators.codes import code_hits
 
@@ -245,7 +245,9 @@ def flag_recipes_long(
     first_code = {DIAG_TEXT: PRIMARY_DIAG, PROC_TEXT: PRIMARY_PROC}
 
     def evidence(t: AnyCode) -> Column:
-        return F.coalesce(F.col(terms[t]), F.lit(False)) | matches(first_code[t.column], t.pattern)
+        return F.expr(
+            f"coalesce(`{terms[t]}`, false) or coalesce(`{first_code[t.column]}` rlike {sql_text(t.pattern)}, false)"
+        )
 
     return add_flags(out, recipes, evidence, keep_pathways).drop(*terms.values())
 

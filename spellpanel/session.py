@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rule sets make thousands of column calls; do not record a call site for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
