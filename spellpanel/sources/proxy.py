@@ -44,16 +44,6 @@ def unit_code(nation: Column) -> Column:
     )
 
 
-def line_order_key() -> Column:
-    """Sortable text giving the order of lines inside an order."""
-    return F.concat(
-        F.lpad(F.col("l_linenumber").cast("string"), 3, "0"),
-        F.lpad(F.col("l_partkey").cast("string"), 14, "0"),
-        F.lpad(F.col("l_suppkey").cast("string"), 14, "0"),
-        F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 14, "0"),
-    )
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with order and supplier attributes: the base of the episode proxy."""
     li = table(spark, sf_dir, "lineitem")
@@ -62,66 +52,74 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
 
 
+def _pick(index: str, values: list[str]) -> str:
+    """SQL for entry ``index`` (0-based) of a literal list."""
+    return f"element_at(split('{','.join(values)}', ','), cast(1 + {index} as int))"
+
+
+_LINE_KEY = (
+    "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), "
+    "cast(l_suppkey as string), cast(cast(round(l_extendedprice * 100) as bigint) as string))"
+)
+_ORDER_DAY = "cast(o_orderdate as date)"
+_SHIP_DAY = "cast(l_shipdate as date)"
+_ETHNIC = "substr('ABCDEFGHZ', cast(1 + o_custkey % 9 as int), 1)"
+
+# Episode columns over the joined lines (see FIXTURES.md), and columns carried
+# through without being read.
+EPISODE_FIELDS = {
+    "TOKEN_PERSON_ID": "cast(o_custkey as string)",
+    "EPIKEY": _LINE_KEY,
+    "SUSRECID": _LINE_KEY,
+    "PROCODET": "concat('R', lpad(cast(s_nationkey % 5 as string), 2, '0'))",
+    "PROCODE3": "concat(if(s_nationkey % 8 = 7, 'N', 'R'), lpad(cast(s_nationkey as string), 2, '0'))",
+    "ADMIDATE": f"if(o_orderkey % 97 = 0, null, {_ORDER_DAY})",
+    "EPISTART": _SHIP_DAY,
+    "EPIEND": f"date_add({_SHIP_DAY}, cast(l_quantity as int))",
+    "EPIORDER": "l_linenumber",
+    "EPIDUR": "cast(l_quantity as int)",
+    "EPISTAT": "if(l_linestatus = 'O' and l_linenumber % 2 = 0, 1, 3)",
+    "DISDATE": "case when l_returnflag = 'R' then null when l_linenumber = 7 then date '1801-01-01' "
+    f"else date_add({_ORDER_DAY}, cast(o_orderkey % 45 - 2 as int)) end",
+    "ADMIMETH": _pick("o_orderkey % 6", ["11", "12", "13", "21", "81", "2B"]),
+    "ADMISORC": _pick("l_partkey % 4", ["19", "51", "87", "29"]),
+    "DISDEST": f"if(l_suppkey % 10 = 0, null, {_pick('l_suppkey % 4', ['19', '52', '84', '29'])})",
+    "SEX": "if(o_custkey % 101 = 0, null, cast(1 + o_custkey % 2 as int))",
+    "STARTAGE": "if(o_custkey % 50 = 0, 7001, cast(o_custkey % 95 as int))",
+    "ETHNOS": _ETHNIC,
+    "LSOA11": "concat('E', lpad(cast(o_custkey % 200 as string), 3, '0'))",
+    "MAINSPEF": _pick("l_suppkey % 4", ["101", "120", "500", "110"]),
+    "TRETSPEF": _pick("l_partkey % 4", ["211", "215", "502", "130"]),
+    "OPERTN_01": _pick("l_partkey % 61", PROCEDURES),
+    "DIAG_01": _pick("l_suppkey % 20", DIAGNOSES),
+    "nr_elix_h36": "cast(o_custkey % 5 as int)",
+    "ADMINCAT": "'01'",
+    "CLASSPAT": "l_linestatus",
+    "DISMETH": "l_returnflag",
+    "DUPLICATE": "cast(null as string)",
+    "ELECDATE": _ORDER_DAY,
+    "ENCRYPTED_HESID": "cast(o_custkey as string)",
+    "ETHNIC5": _ETHNIC,
+    "GPPRAC": "cast(null as string)",
+    "INTMANIG": "l_linestatus",
+    "OPDATE_01": _SHIP_DAY,
+    "STARTAGE_CALC": "cast(o_custkey % 95 as double)",
+    "order_key": "l_orderkey",
+    "line_order": "concat(lpad(cast(l_linenumber as string), 3, '0'), lpad(cast(l_partkey as string), 14, '0'), "
+    "lpad(cast(l_suppkey as string), 14, '0'), "
+    "lpad(cast(cast(round(l_extendedprice * 100) as bigint) as string), 14, '0'))",
+}
+
+
 def episodes(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
     """Episode records; ``copies`` adds duplicate episodes with another key."""
-    c = F.col
-    order_day = c("o_orderdate").cast("date")
-    ship_day = c("l_shipdate").cast("date")
-    key = line_key()
-    fields = {
-        "TOKEN_PERSON_ID": c("o_custkey").cast("string"),
-        "EPIKEY": key,
-        "SUSRECID": key,
-        "PROCODET": F.concat(F.lit("R"), F.lpad((c("s_nationkey") % 5).cast("string"), 2, "0")),
-        "PROCODE3": unit_code(c("s_nationkey")),
-        "ADMIDATE": F.when(c("o_orderkey") % 97 != 0, order_day),
-        "EPISTART": ship_day,
-        "EPIEND": F.date_add(ship_day, c("l_quantity").cast("int")),
-        "EPIORDER": c("l_linenumber"),
-        "EPIDUR": c("l_quantity").cast("int"),
-        "EPISTAT": F.when((c("l_linestatus") == "O") & (c("l_linenumber") % 2 == 0), 1).otherwise(3),
-        "DISDATE": F.when(c("l_returnflag") == "R", None)
-        .when(c("l_linenumber") == 7, F.lit("1801-01-01").cast("date"))
-        .otherwise(F.date_add(order_day, (c("o_orderkey") % 45 - 2).cast("int"))),
-        "ADMIMETH": pick(c("o_orderkey") % 6, ["11", "12", "13", "21", "81", "2B"]),
-        "ADMISORC": pick(c("l_partkey") % 4, ["19", "51", "87", "29"]),
-        "DISDEST": F.when(
-            c("l_suppkey") % 10 != 0, pick(c("l_suppkey") % 4, ["19", "52", "84", "29"])
-        ),
-        "SEX": F.when(c("o_custkey") % 101 != 0, (c("o_custkey") % 2 + 1).cast("int")),
-        "STARTAGE": F.when(c("o_custkey") % 50 == 0, 7001).otherwise((c("o_custkey") % 95).cast("int")),
-        "ETHNOS": F.substring(F.lit("ABCDEFGHZ"), (c("o_custkey") % 9 + 1).cast("int"), F.lit(1)),
-        "LSOA11": area_code(c("o_custkey") % 200),
-        "MAINSPEF": pick(c("l_suppkey") % 4, ["101", "120", "500", "110"]),
-        "TRETSPEF": pick(c("l_partkey") % 4, ["211", "215", "502", "130"]),
-        "OPERTN_01": pick(c("l_partkey") % 61, PROCEDURES),
-        "DIAG_01": pick(c("l_suppkey") % 20, DIAGNOSES),
-        "nr_elix_h36": (c("o_custkey") % 5).cast("int"),
-        # columns carried through without being read
-        "ADMINCAT": F.lit("01"),
-        "CLASSPAT": c("l_linestatus"),
-        "DISMETH": c("l_returnflag"),
-        "DUPLICATE": F.lit(None).cast("string"),
-        "ELECDATE": order_day,
-        "ENCRYPTED_HESID": c("o_custkey").cast("string"),
-        "ETHNIC5": F.substring(F.lit("ABCDEFGHZ"), (c("o_custkey") % 9 + 1).cast("int"), F.lit(1)),
-        "GPPRAC": F.lit(None).cast("string"),
-        "INTMANIG": c("l_linestatus"),
-        "OPDATE_01": ship_day,
-        "STARTAGE_CALC": (c("o_custkey") % 95).cast("double"),
-        # kept for the code tables
-        "order_key": c("l_orderkey"),
-        "line_order": line_order_key(),
-        "l_partkey": c("l_partkey"),
-    }
-    base = lines(spark, sf_dir).select(*[v.alias(k) for k, v in fields.items()])
-    if copies:
-        base = base.unionByName(
-            base.filter(c("l_partkey") % 50 == 0).withColumn(
-                "EPIKEY", F.concat(c("EPIKEY"), F.lit("-b"))
-            )
-        )
-    return base.drop("l_partkey")
+    joined = lines(spark, sf_dir)
+    fields = [f"{v} as {k}" for k, v in EPISODE_FIELDS.items()]
+    base = joined.selectExpr(*fields)
+    if not copies:
+        return base
+    doubled = joined.filter("l_partkey % 50 = 0").selectExpr(*fields)
+    return base.unionByName(doubled.withColumn("EPIKEY", F.concat("EPIKEY", F.lit("-b"))))
 
 
 def area_code(k: Column) -> Column:
@@ -133,26 +131,14 @@ def spell_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes(spark, sf_dir).select(*EPISODE_COLUMNS)
 
 
-def line_key() -> Column:
-    """Episode key of a line."""
-    return F.concat_ws(
-        "-",
-        F.col("l_orderkey").cast("string"),
-        F.col("l_linenumber").cast("string"),
-        F.col("l_partkey").cast("string"),
-        F.col("l_suppkey").cast("string"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
-    )
-
-
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line of each order with the record id it stands for.
 
     Lines are reduced to one per order before they meet the other tables.
     """
     li = table(spark, sf_dir, "lineitem")
-    wanted = [F.col("l_partkey"), F.col("l_suppkey"), line_key().alias("EPIKEY")]
-    first = li.groupBy("l_orderkey").agg(F.min(F.struct(line_order_key().alias("o"), *wanted)).alias("f"))
+    wanted = [F.col("l_partkey"), F.col("l_suppkey"), F.expr(_LINE_KEY).alias("EPIKEY")]
+    first = li.groupBy("l_orderkey").agg(F.min(F.struct(F.expr(EPISODE_FIELDS["line_order"]).alias("o"), *wanted)).alias("f"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return first.join(o, first.l_orderkey == o.o_orderkey).select(
         F.col("o_orderkey").alias("order_key"),
@@ -186,7 +172,7 @@ def secondary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     filed under the id of the first."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
-        line_order_key().alias("ord"),
+        F.expr(EPISODE_FIELDS["line_order"]).alias("ord"),
         pick(F.col("l_partkey") % 61, PROCEDURES).alias("proc"),
         pick(F.col("l_suppkey") % 20, DIAGNOSES).alias("diag"),
     )
