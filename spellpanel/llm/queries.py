@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellpanel.llm import mixing, quality, sharding
+from spellpanel.llm import langid, mixing, neardup, quality, sharding, substrings
 from spellpanel.llm import sql as twins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op8_min_max_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85, rows=6)
+
+
+def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -33,6 +46,9 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_quality_rules": op3_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_min_max_neardup": op8_min_max_neardup,
+    "op9_language_codes": op9_language_codes,
     "op10_shard_documents": op10_shard_documents,
 }
 
