@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellpanel.llm import langid, mixing, neardup, quality, sharding, substrings
+from spellpanel.llm import langid, mixing, neardup, quality, sentences, sharding, substrings, tokens
 from spellpanel.llm import sql as twins
 
+#: Rank file of a public byte-level tokenizer for many languages, and its split pattern.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_answers(table(spark, sf_dir, "documents"), VOCABULARY, tokens.PATTERN)
+
+
 def op8_min_max_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85, rows=6)
 
@@ -44,9 +55,11 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentence_spans": op1_sentence_spans,
     "op2_mix_sources": op2_mix_sources,
     "op3_quality_rules": op3_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_token_lengths": op7_token_lengths,
     "op8_min_max_neardup": op8_min_max_neardup,
     "op9_language_codes": op9_language_codes,
     "op10_shard_documents": op10_shard_documents,
