@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellpanel.llm import decontaminate, langid, mixing, neardup, quality, sentences, sharding, substrings, tokens
+from spellpanel.llm import decontaminate, extraction, langid, mixing, neardup, quality, sentences, sharding, substrings, tokens
 from spellpanel.llm import sql as twins
 
 #: Rank file of a public byte-level tokenizer for many languages, and its split pattern.
@@ -33,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_mix_sources": op2_mix_sources,
     "op3_quality_rules": op3_quality_rules,
+    "op4_template_text": op4_template_text,
     "op5_latent_leaks": op5_latent_leaks,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_lengths": op7_token_lengths,
