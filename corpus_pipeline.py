@@ -4,29 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spellpanel.llm import mixing, quality, sharding
+from spellpanel.llm import decontaminate, mixing, neardup, quality, sharding
 from spellpanel.session import stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that pass the base rules and the risk-controlled ones."""
     return quality.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity of 0.8 or more."""
+    return neardup.deduplicated(docs, size=5, percent=80, rows=5)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, a row for each pass over a document."""
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every row in shards of equal bytes."""
     return sharding.shard_documents(docs)
 
 
 STAGES = [
     ("quality_rules", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
     ("mix_sources", mix),
     ("shard_documents", shard),
 ]
 
-#: SQL cannot express the signatures of the near-duplicate stage or the latent search; tests hold both to brute force.
+#: SQL cannot express the signatures or the latent search; the tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
