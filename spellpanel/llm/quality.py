@@ -131,11 +131,14 @@ def risk_controlled_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str =
     held = stats.filter(~F.col("base_failed")).join(quality, "doc_id")
     cut = {r: F.array(*[F.lit(float(c)) for c in v]) for r, v in RULES.items()}
     value = measures()
+
+    def reached(rule: str) -> Column:
+        return F.size(F.filter(cut[rule], lambda c: value[rule] > c))
+
     passed = held.select(
         F.col(stratum).alias("stratum"), "_quality",
         F.explode(F.array(*[
-            F.struct(F.lit(r).alias("rule"), cut[r].alias("cutoffs"),
-                     F.size(F.filter(cut[r], lambda c, v=value[r]: v > c)).alias("reached"))
+            F.struct(F.lit(r).alias("rule"), cut[r].alias("cutoffs"), reached(r).alias("reached"))
             for r in RULES])).alias("x"),
     )
     counted = passed.groupBy("stratum", "x.rule", "x.cutoffs", "x.reached").agg(
@@ -151,7 +154,7 @@ def risk_controlled_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str =
     tail = lower_tail(F.col("lost").cast("double"), F.col("n_good").cast("double"), risk / len(RULES))
     judged = rejected.join(F.broadcast(tests)).withColumns({
         "safe": (tail <= (1 - confidence) / F.col("tests")) & (F.col("caught") > 0),
-        "gain": F.col("caught") / F.col("n_bad") - F.col("lost") / F.greatest("n_good", F.lit(1)),
+        "gain": F.col("caught") / F.greatest("n_bad", F.lit(1)) - F.col("lost") / F.greatest("n_good", F.lit(1)),
     })
     best = F.max(F.when(F.col("safe") & (F.col("gain") > 0), F.struct("gain", "place", "cutoff")))
     return judged.groupBy("stratum", "rule").agg(best["cutoff"].alias("cutoff"))
