@@ -81,7 +81,7 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     member = named.select(F.xxhash64("host", "token").alias("slot"), "class", "held")
     placed = lookup(each.select("key", "token", "place", F.xxhash64("host", "token").alias("slot")), member, "slot", "held")
     orders = placed.groupBy("class", "key").agg(
-        F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"])).alias("o"))
+        F.xxhash64(F.transform(F.sort_array(F.collect_set(F.struct("place", "token"))), lambda x: x["token"])).alias("o"))
     valid = orders.groupBy("class").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo = hi").select("class")
     template = named.join(valid, "class", "left_semi")
     most = F.max(F.when(F.col("kind") > 0, F.col("mass")))

@@ -150,13 +150,19 @@ def is_container(e: Element) -> bool:
 
 
 def slot_text(page: Page, container: int | None, constant: set[int]) -> str:
-    """The blocks under the container, with white space made single blanks, joined by empty lines."""
+    """The blocks under the container, with white space made single blanks, joined by empty lines.
+
+    A block is template text only if all of it is.
+    """
     inside = [False] * len(page.elements)
     for i, e in enumerate(page.elements):
         inside[i] = container is None or e.path == container or (e.parent >= 0 and inside[e.parent])
     blocks: dict[int, list[str]] = {}
+    own_text: set[int] = set()
     for own, words, mark, block in page.texts:
-        if inside[own] and not page.elements[own].aside and (mark == 0 or mark not in constant):
+        if inside[own] and not page.elements[own].aside:
             blocks.setdefault(block, []).append(words)
-    found = (" ".join("".join(b).split()) for _, b in sorted(blocks.items()))
+            if mark and mark not in constant:
+                own_text.add(block)
+    found = (" ".join("".join(b).split()) for n, b in sorted(blocks.items()) if n in own_text)
     return "\n\n".join(b for b in found if b)
