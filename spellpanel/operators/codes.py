@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spellpanel.functions.nulls import sql_text
-from spellpanel.functions.text import clean_codes
 from spellpanel.operators.relational import MAX_ROWS_PER_KEY, positions_to_columns, row_in_group
 
-# Lookups up to this many codes become literals; larger ones take the join.
-MAX_INLINE_CODES = 5_000
-
 
 def number_codes(long: DataFrame, max_rows_per_record: int | None = MAX_ROWS_PER_KEY) -> DataFrame:
     """Occurrence number ``num`` of each code within its record, in ``ord`` order."""
@@ -25,29 +22,18 @@ def codes_wide(long: DataFrame, n: int, prefix: str) -> DataFrame:
     return positions_to_columns(number_codes(long), "id", "num", "code", n, prefix)
 
 
-def code_arrays(long: DataFrame, max_codes: int | None = None) -> DataFrame:
+def code_arrays(long: DataFrame) -> DataFrame:
     """All codes of a record as an ordered array (the master form)."""
     ordered = F.array_sort(F.collect_list(F.struct("ord", "code")))
-    if max_codes is not None:
-        ordered = F.slice(ordered, 1, max_codes)
     return long.groupBy("id").agg(F.transform(ordered, lambda s: s["code"]).alias("codes"))
 
 
-def attach_codes(
-    records: DataFrame,
-    dx: DataFrame,
-    px: DataFrame,
-    max_dx: int | None = None,
-    max_px: int | None = None,
-) -> DataFrame:
+def attach_codes(records: DataFrame, dx: DataFrame, px: DataFrame) -> DataFrame:
     """Add ``tnrdiagall`` and ``tnrprocall``: primary code first, then the
     secondary ones, comma-joined without missing entries."""
     out = records
-    for long, primary, name, cap in (
-        (dx, "DIAG_01", "tnrdiagall", max_dx),
-        (px, "OPERTN_01", "tnrprocall", max_px),
-    ):
-        arrays = code_arrays(long, cap).withColumnRenamed("codes", "_codes")
+    for long, primary, name in ((dx, "DIAG_01", "tnrdiagall"), (px, "OPERTN_01", "tnrprocall")):
+        arrays = code_arrays(long).withColumnRenamed("codes", "_codes")
         out = (
             out.join(arrays, "id", "left")
             .withColumn(name, F.concat_ws(",", F.array(primary), F.coalesce("_codes", F.array().cast("array<string>"))))
@@ -56,24 +42,37 @@ def attach_codes(
     return out
 
 
+def pattern_test(pattern: str, column: str = "code") -> str:
+    """SQL text of "the code matches": for plain alternatives a set of prefixes per length.
+
+    A code has its only letter in front, so an alternative that starts with a letter can match
+    at the start alone.
+    """
+    codes = pattern.lstrip("^").split("|")
+    if not all(re.fullmatch(r"[A-Z][0-9]+", c) for c in codes):
+        return f"{column} rlike {sql_text(pattern)}"
+    by_length: dict[int, list[str]] = {}
+    for c in codes:
+        by_length.setdefault(len(c), []).append(c)
+    return "(" + " or ".join(
+        f"substring({column}, 1, {n}) in ({', '.join(map(sql_text, group))})" for n, group in sorted(by_length.items())
+    ) + ")"
+
+
 def code_hits(long: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     """Per record, one boolean per named pattern: some code of it matches.
 
-    Patterns are searched once per distinct code, not once per row; the outcome
-    is a bit mask that rows pick up by joining on the code and that combines
-    before the shuffle, so a record with any number of codes costs one short
-    row and no code list is gathered.
+    One pass over the rows: each code becomes a bit mask by set lookups, and masks combine
+    before the only shuffle, so a record with any number of codes costs one short
+    row, no code list is gathered and no code is a join key.
     """
     names = list(patterns)
     groups = [names[i : i + 60] for i in range(0, len(names), 60)]
-    masks = {}
+    masks = []
     for g, group in enumerate(groups):
-        bits = [
-            f"if(code rlike {sql_text(patterns[name])}, {1 << bit}L, 0L)" for bit, name in enumerate(group)
-        ]
-        masks[f"_m{g}"] = F.expr(f"coalesce({' | '.join(bits)}, 0L)")
-    known = long.select("code").distinct().withColumns(masks)
-    found = long.join(known, "code").groupBy("id").agg(*[F.bit_or(m).alias(m) for m in masks])
+        bits = [f"if({pattern_test(patterns[name])}, {1 << bit}L, 0L)" for bit, name in enumerate(group)]
+        masks.append(F.expr(f"coalesce({' | '.join(bits)}, 0L)").alias(f"_m{g}"))
+    found = long.select("id", *masks).groupBy("id").agg(*[F.bit_or(f"_m{g}").alias(f"_m{g}") for g in range(len(groups))])
     return found.select(
         "id",
         *[
@@ -84,53 +83,25 @@ def code_hits(long: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     )
 
 
-def inclusion_codes(code_list: DataFrame, column: str = "intermediate") -> list[str] | None:
-    """The lookup's codes, or None when it is too long to inline."""
-    rows = code_list.select(column).distinct().limit(MAX_INLINE_CODES + 1).collect()
-    return None if len(rows) > MAX_INLINE_CODES else clean_codes(r[0] for r in rows)
-
-
 def filter_by_code_list(
     records: DataFrame, code_list: DataFrame, text: str = "tnrprocall", column: str = "intermediate"
 ) -> DataFrame:
     """Records whose code text holds an element starting with a listed code.
 
     Codes start with their only letter, so a match anywhere in the text is a
-    match at the start of an element.  Lists of the usual size become one
-    literal set per code length (no shuffle); longer ones are semi-joined on
-    every prefix of every element.
+    match at the start of an element.  Different texts are cut into the prefixes of
+    their elements and semi-joined, for lists of any length; white space in the
+    list is ignored.  Records need no id.
     """
-    elements = F.split(text, ",")
-    codes = inclusion_codes(code_list, column)
-    if codes is not None:
-        if not codes:
-            return records.limit(0)
-        by_length: dict[int, list[str]] = {}
-        for code in codes:
-            by_length.setdefault(len(code), []).append(code)
-
-        def listed(e):
-            hit = F.lit(False)
-            for n, group in sorted(by_length.items()):
-                hit = hit | F.substring(e, 1, n).isin(group)
-            return hit
-
-        return records.filter(F.exists(elements, listed))
-    return filter_by_prefix_join(records, code_list, text, column)
-
-
-def filter_by_prefix_join(
-    records: DataFrame, code_list: DataFrame, text: str = "tnrprocall", column: str = "intermediate"
-) -> DataFrame:
-    """The same filter by joins only, for lists of any length."""
-    wanted = code_list.select(F.trim(F.col(column)).alias("prefix")).filter("prefix <> ''").distinct()
+    wanted = code_list.select(F.regexp_replace(column, r"\s+", "").alias("prefix")).filter("prefix <> ''").distinct()
     prefixes = (
-        records.select("id", F.explode(F.split(text, ",")).alias("e"))
-        .select("id", F.explode(F.sequence(F.lit(1), F.length("e"))).alias("n"), "e")
-        .select("id", F.expr("substring(e, 1, n)").alias("prefix"))
+        records.select(F.col(text).alias("_text")).distinct()
+        .select("_text", F.explode(F.array_distinct(F.split("_text", ","))).alias("e"))
+        .select("_text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("e"), F.lit(1)))).alias("n"), "e")
+        .select("_text", F.expr("substring(e, 1, n)").alias("prefix"))
     )
-    hits = prefixes.join(wanted, "prefix", "left_semi").select("id").distinct()
-    return records.join(hits, "id", "left_semi")
+    hits = prefixes.join(wanted, "prefix", "left_semi").select("_text").distinct()
+    return records.join(hits, records[text] == hits["_text"], "left_semi")
 
 
 def keep_records(long: DataFrame, ids: DataFrame) -> DataFrame:

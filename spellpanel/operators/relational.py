@@ -215,9 +215,15 @@ def count_steps(units: DataFrame, unit: str, steps: dict[str, Column]) -> DataFr
 def positions_to_columns(
     df: DataFrame, key: str, position: str, value: str, n: int, prefix: str
 ) -> DataFrame:
-    """Long to wide by occurrence number with a declared number of columns."""
+    """Long to wide by occurrence number with a declared number of columns.
+
+    A position past the last column raises when the plan runs, so nothing is lost silently.
+    """
     cols = [F.max(F.when(F.col(position) == i, F.col(value))).alias(f"{prefix}{i}") for i in range(1, n + 1)]
-    return df.groupBy(key).agg(*cols)
+    beyond = F.raise_error(F.concat(F.lit(f"more than {n} values for {key} "), F.col(key).cast("string")))
+    wide = df.groupBy(key).agg(F.max(position).alias("_last"), *cols)
+    first = F.when(F.col("_last") > n, beyond).otherwise(F.col(f"{prefix}1")).alias(f"{prefix}1")
+    return wide.select(key, first, *[f"{prefix}{i}" for i in range(2, n + 1)])
 
 
 def group_shares(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from spellpanel.operators import panel as P
 from spellpanel.operators import spells as S
 from spellpanel.operators.codes import attach_codes
 from spellpanel.operators.recipes import RECIPES
-from spellpanel.operators.rules import flag_recipes, flag_recipes_long
+from spellpanel.operators.rules import flag_recipes_long
 from spellpanel.operators.treatment import model_inputs
 from spellpanel.session import stage
 from spellpanel.sources import proxy
@@ -69,7 +69,9 @@ def coded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pathways(spark: SparkSession, sf: str) -> DataFrame:
-    return flag_recipes(coded(spark, sf), RECIPES, keep_pathways=True)
+    return flag_recipes_long(
+        proxy.coded_records(spark, sf), proxy.dx_long(spark, sf), proxy.px_long(spark, sf), RECIPES, keep_pathways=True
+    )
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:

@@ -279,8 +279,8 @@ FROM plain_spells, (SELECT quantile_cont(los, 0.95) AS q FROM plain_spells WHERE
 )
 def a13(spark, sf):
     stays = P.with_stay(chain.elective(spark, sf)).filter("los >= 0").select("id", "los")
-    cap = Rel.quantile(stays, "los", 0.95).first()["q"]  # one number
-    return stays.withColumn("los_new", cap_at(F.col("los").cast("double"), cap))
+    cap = Rel.quantile(stays, "los", 0.95)  # one row
+    return stays.join(F.broadcast(cap)).select("id", "los", F.least(F.col("los").cast("double"), "q").alias("los_new"))
 
 
 @query(

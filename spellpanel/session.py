@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +29,10 @@ def build_session(app: str = "spellpanel", **extra: str) -> SparkSession:
 def stage_root(spark: SparkSession) -> str:
     """Folder for stage tables: ``spark.checkpoint.dir`` as the cluster set it.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would not survive a lost executor.
+    Where it is unset, a folder in the warehouse, which all executors share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="spellpanel-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def stage_folder(spark: SparkSession) -> str:

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from simulate import frame, panel
@@ -82,8 +83,25 @@ def test_bootstrap_does_not_depend_on_the_split(cells, fit, boot):
     gap = boot.join(again.withColumnRenamed("eff", "e2"), ["model", "unit", "time", "draw"])
     row = gap.agg(F.max(F.abs(F.col("eff") - F.col("e2"))), F.count("*")).first()
     assert row[0] < 1e-9 and row[1] == boot.count() == again.count() == 60 * (3 * 24 + 2 * 24 + 3 * 30 + 3 * 24)
-    with pytest.raises(ValueError):
-        E.bootstrap_effects(cells, fit["fit_meta"], draws=1, max_cells=10)
+
+
+def test_fit_that_stops_early_says_so():
+    y = np.random.default_rng(0).normal(size=(40, 12))
+    x = np.random.default_rng(1).normal(size=(40, 12)) + y
+    z = np.concatenate([y, x], axis=1)
+    assert E.solve_gram(z.T @ z, 12, 2, tol=0.0, cap=3)[3] is False
+    assert E.solve_gram(z.T @ z, 12, 2)[3] is True
+
+
+def test_playing_controls_are_not_a_prefix(spark):
+    """More controls than pool entries: renaming them in another order leaves the spread of errors alone."""
+    p = panel("m", n_co=60, starts=(8,), months=12)
+    cells = E.eligible_cells(frame(spark, p).drop("treated", "T0"))
+    meta = E.fit_sweep(cells, rank=0)["fit_meta"]
+    a = E.bootstrap_effects(cells, meta, draws=40, pool_size=20)
+    b = E.bootstrap_effects(cells, meta, draws=40, pool_size=40)
+    assert a.count() == b.count() > 0
+    assert a.agg(F.stddev("eff")).first()[0] > 0
 
 
 def test_eligibility(spark):

@@ -122,17 +122,18 @@ def test_more_patterns_than_one_mask_holds(spark, small):
     assert got.exceptAll(brute).isEmpty() and len(got.columns) == 123
 
 
-def test_code_list_forms_agree(spark, small):
+def test_code_list_filter(spark, small):
     records = chain.coded(spark, small).select("id", "tnrprocall")
     listed = proxy.code_list(spark, small).unionByName(spark.createDataFrame([("",), (None,)], "intermediate string"))
-    a, b = C.filter_by_code_list(records, listed), C.filter_by_prefix_join(records, listed.filter("intermediate is not null"))
-    pattern = "|".join(C.inclusion_codes(listed))
+    records = records.unionByName(records.withColumn("id", F.lit(None).cast("string")).limit(50))
+    got = C.filter_by_code_list(records, listed)
+    pattern = "|".join(X.clean_codes(r[0] for r in listed.collect()))
     brute = records.filter(F.col("tnrprocall").rlike(pattern))
-    assert a.count() == b.count() == brute.count() > 0
-    assert a.exceptAll(brute).isEmpty() and b.exceptAll(brute).isEmpty()
+    assert got.count() == brute.count() > 0
+    assert got.exceptAll(brute).isEmpty()
 
 
-def test_codes_wide_and_caps(spark):
+def test_codes_wide(spark):
     long = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], "id string, ord int, code string")
     wide = {r["id"]: r for r in C.codes_wide(long, 3, "c").collect()}
     assert (wide["a"]["c1"], wide["a"]["c2"], wide["a"]["c3"], wide["b"]["c1"]) == ("x", "y", None, "z")
@@ -140,8 +141,8 @@ def test_codes_wide_and_caps(spark):
     full = {r["id"]: r for r in C.attach_codes(records, long, long).collect()}
     assert full["a"]["tnrprocall"] == "P,x,y" and full["a"]["tnrdiagall"] == "x,y"
     assert full["c"]["tnrprocall"] == "" and full["c"]["tnrdiagall"] == "D"
-    capped = C.attach_codes(records, long, long, max_px=1).filter("id = 'a'").first()
-    assert capped["tnrprocall"] == "P,x"
+    with pytest.raises(Exception, match="more than 1 values"):
+        C.codes_wide(long, 1, "c").collect()
 
 
 def test_code_text_helpers(spark):
