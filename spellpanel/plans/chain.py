@@ -9,7 +9,7 @@ from spellpanel.operators import effects as E
 from spellpanel.operators import panel as P
 from spellpanel.operators import spells as S
 from spellpanel.operators.codes import attach_codes
-from spellpanel.operators.recipes import RECIPES
+from spellpanel.operators.recipes import RECIPES, SPECIALTIES
 from spellpanel.operators.rules import flag_recipes_long
 from spellpanel.operators.treatment import model_inputs
 from spellpanel.session import stage
@@ -24,17 +24,35 @@ ATTRIBUTES = [
 PANEL_COLUMNS = [c for c in EPISODE_COLUMNS if c not in ("SUSRECID", "EPIDUR")] + ATTRIBUTES
 YEARS = list(range(1995, 2000))
 STAY_FROM = "1995-01-01"
-OUTCOMES = [
-    E.Outcome("elect", "rate", "el_rate", "wt_catchment_cat"),
-    E.Outcome("elect", "los.ip_avg", "los_avg", "wt_n_activity"),
-    E.Outcome("elect", "los.dc_ratio", "dc", "wt_n_activity"),
-]
+# Columns of rate, mean stay and day-case ratio of each modelled activity; spinal pathways are not modelled.
+MEASURES = {
+    "elect": ("el_rate", "los_avg", "dc"),
+    "hvlc": ("hvlc_rate", "los_avg_hvlc", "dc_prop_hvlc"),
+    **{s: (f"rate_{s}", f"los_avg_{s}", f"dc_prop_{s}") for s in SPECIALTIES if s != "spn"},
+}
 RATE_COVARIATES = ("catchment_cat", "sex_male_pct", "white_pct", "age_65_plus_pct")
 STAY_COVARIATES = (
     "catchment_cat", "sex_male_pct_ec", "white_pct_ec", "age_65_plus_pct_ec", "quintile_1_pct_ec", "comorb_pct",
 )
 
 
+def outcomes(with_covariates: bool = False) -> list[E.Outcome]:
+    """The modelled outcomes of a cohort: eight activities by three measures."""
+    rate, stay = (RATE_COVARIATES, STAY_COVARIATES) if with_covariates else ((), ())
+    return [
+        o
+        for activity, (r, los, dc) in MEASURES.items()
+        for o in (
+            E.Outcome(activity, "rate", r, "wt_catchment_cat", rate),
+            E.Outcome(activity, "los.ip_avg", los, "wt_n_activity", stay),
+            E.Outcome(activity, "los.dc_ratio", dc, "wt_n_activity", stay),
+        )
+    ]
+
+
+OUTCOMES = outcomes()
+
+
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """Finished episodes with their transfer flag."""
     return S.transfer_flag(S.finished_episodes(proxy.episodes(spark, sf).select(*EPISODE_COLUMNS)))
@@ -85,8 +103,9 @@ def overall_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kept_panel(spark: SparkSession, sf: str) -> DataFrame:
+    whole = P.final_panel(flagged_spells(spark, sf), features(spark, sf), proxy.LAST_REFERENCE_YEAR, STAY_FROM)
     kept = P.apply_exclusions(
-        overall_panel(spark, sf), proxy.peer_units(spark, sf), features(spark, sf), proxy.exclude_units(spark, sf)
+        whole, proxy.peer_units(spark, sf), features(spark, sf), proxy.exclude_units(spark, sf)
     )
     return P.attach_unit_category(kept, proxy.unit_lookup(spark, sf))
 

@@ -89,12 +89,7 @@ def m03(spark, sf):
 
 @query("m04_fit_sweep")
 def m04(spark, sf):
-    outcomes = [
-        E.Outcome("elect", "rate", "el_rate", "wt_catchment_cat", chain.RATE_COVARIATES),
-        E.Outcome("elect", "los.ip_avg", "los_avg", "wt_n_activity", chain.STAY_COVARIATES),
-        E.Outcome("elect", "los.dc_ratio", "dc", "wt_n_activity", chain.STAY_COVARIATES),
-    ]
-    cells = stage(chain.cells(spark, sf, outcomes), "cells")
+    cells = stage(chain.cells(spark, sf, chain.outcomes(with_covariates=True)), "cells")
     kept = stage(E.eligible_cells(cells), "eligible")
     return E.fit_sweep(kept, models=cells.select("model"))["fit_meta"]
 

@@ -162,12 +162,12 @@ def t06(spark, sf):
 @query(
     "t07_model_inputs",
     f"""SELECT cohort, PROCODE3, year_month, time, treated_unit, post, intervention, hub_start_date, n_activity,
-  {_r([*_COV, 'el_rate', *_MIX, 'wt_n_activity', 'wt_catchment_cat'])} FROM inputs""",
+  {_r([*_COV, 'el_rate', *_MIX, *_RATES, 'hvlc_rate', *_STAYS, 'wt_n_activity', 'wt_catchment_cat'])} FROM inputs""",
 )
 def t07(spark, sf):
     return chain.inputs(spark, sf).select(
         "cohort", "PROCODE3", "year_month", "time", "treated_unit", "post", "intervention", "hub_start_date",
-        "n_activity", *_COV, "el_rate", *_MIX, "wt_n_activity", "wt_catchment_cat",
+        "n_activity", *_COV, "el_rate", *_MIX, *_RATES, "hvlc_rate", *_STAYS, "wt_n_activity", "wt_catchment_cat",
     )
 
 

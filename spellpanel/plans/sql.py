@@ -186,6 +186,17 @@ _CATCH_JOIN = (
 )
 _FEATURES = "f.catchment_cat, f.sex_male_pct, f.white_pct, f.age_65_plus_pct"
 
+MODELLED = {
+    "elect": ("el_rate", "los_avg", "dc"),
+    "hvlc": ("hvlc_rate", "los_avg_hvlc", "dc_prop_hvlc"),
+    "ort": ("rate_ort", "los_avg_ort", "dc_prop_ort"),
+    "opht": ("rate_opht", "los_avg_opht", "dc_prop_opht"),
+    "gs": ("rate_gs", "los_avg_gs", "dc_prop_gs"),
+    "uro": ("rate_uro", "los_avg_uro", "dc_prop_uro"),
+    "ent": ("rate_ent", "los_avg_ent", "dc_prop_ent"),
+    "gm": ("rate_gm", "los_avg_gm", "dc_prop_gm"),
+}
+
 CTES = {
     "lines": """
 SELECT * FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -353,7 +364,7 @@ FROM (
 SELECT a.*, s.* EXCLUDE (PROCODE3, month), strftime(a.month, '%Y_%m') AS year_month
 FROM activity a LEFT JOIN stay s ON a.PROCODE3 = s.PROCODE3 AND a.month = s.month""",
     "kept_panel": """
-SELECT p.*, c.elective_hub_cat FROM core_panel p LEFT JOIN categories c ON p.PROCODE3 = c.trust_code
+SELECT p.*, c.elective_hub_cat FROM panel p LEFT JOIN categories c ON p.PROCODE3 = c.trust_code
 WHERE p.PROCODE3 LIKE 'R%' AND p.PROCODE3 IN (SELECT Procode FROM peer_units)
   AND p.PROCODE3 IN (SELECT trust_code FROM features)
   AND p.PROCODE3 NOT IN (SELECT PROCODE3 FROM exclude_units)""",
@@ -379,11 +390,13 @@ SELECT *, n_activity / nullif(sum(n_activity) OVER (PARTITION BY cohort, treated
           = count(catchment_cat) OVER (PARTITION BY cohort, treated_unit, time)
     THEN catchment_cat / nullif(sum(catchment_cat) OVER (PARTITION BY cohort, treated_unit, time), 0) END AS wt_catchment_cat
 FROM (SELECT * FROM old_inputs UNION ALL BY NAME SELECT * FROM new_inputs)""",
-    "cells": """
-SELECT cohort || '|elect|rate' AS model, PROCODE3 AS unit, CAST(time AS INT) AS time, el_rate AS y, intervention AS d,
-  wt_catchment_cat AS w FROM inputs
-UNION ALL SELECT cohort || '|elect|los.ip_avg', PROCODE3, CAST(time AS INT), los_avg, intervention, wt_n_activity FROM inputs
-UNION ALL SELECT cohort || '|elect|los.dc_ratio', PROCODE3, CAST(time AS INT), dc, intervention, wt_n_activity FROM inputs""",
+    "cells": " UNION ALL ".join(
+        f"SELECT cohort || '|{a}|{m}' AS model, PROCODE3 AS unit, CAST(time AS INT) AS time, {y} AS y, intervention AS d, {w} AS w FROM inputs"
+        for a, columns in MODELLED.items()
+        for m, y, w in zip(
+            ("rate", "los.ip_avg", "los.dc_ratio"), columns, ("wt_catchment_cat", "wt_n_activity", "wt_n_activity")
+        )
+    ),
     "complete": "SELECT * FROM cells WHERE y IS NOT NULL AND d IS NOT NULL",
     "unit_states": """
 SELECT u.*, t.T, CASE WHEN n_cells < t.T THEN 'unbalanced'
