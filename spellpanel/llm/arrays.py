@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Bytes hashed together; one longer text makes a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, dtype=bool)

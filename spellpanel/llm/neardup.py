@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -107,29 +107,61 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("common") >= percent * (F.size("items_a") + F.size("items_b") - F.col("common"))).select("a", "b")
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different components that can still be similar; complete, by prefix filtering.
+def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Prefix items of the documents whose buckets hold several components.
 
-    Two sets with the wanted similarity share one of the rarest ``n - ceil(t n) + 1``
-    items of each.  Only documents whose buckets hold several components come here, and
-    only pairs across components leave.
+    Two sets with the wanted similarity share one of the first ``n - ceil(t n) + 1`` items of
+    each in any common order.  Items that only one component holds come first, then rare ones:
+    the former never join, and what is left of a set without them (``usable``) bounds its
+    overlap with another component.
     """
     items = members.join(sets, "doc_id").select("doc_id", "component", F.size("items").alias("n"),
                                                 F.explode("items").alias("item"))
-    counts = items.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = lookup(items, counts, "item", "df").withColumn(
-        "place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "item")))
-    prefix = ranked.filter(
-        (F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    ).select("doc_id", "component", "n", "item")
-    prefix = stage(prefix, "neardup-prefix")
-    crossing = prefix.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
-        "lo < hi").select("item")
+    counts = items.groupBy("item").agg(
+        F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("crosses"))
+    own = Window.partitionBy("doc_id")
+    ranked = lookup(items, counts, "item", "df").withColumns({
+        "place": F.row_number().over(own.orderBy("crosses", "df", "item")),
+        "usable": F.sum(F.col("crosses").cast("int")).over(own).cast("int")})
+    return ranked.filter(
+        F.col("crosses") & (100 * F.col("usable") >= percent * F.col("n"))
+        & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    ).select("doc_id", "component", "n", "usable", "place", "item")
+
+
+def can_reach(percent: int) -> Column:
+    """Whether the overlap of a and b, which share an item at these places, can still suffice.
+
+    At the first shared item no more than the rest of either set can be common; at a later one
+    the bound may fail, but then the pair is met at the first.
+    """
+    most = F.least("ua", "ub", F.col("na") - F.col("pa") + 1, F.col("nb") - F.col("pb") + 1)
+    return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+
+
+def _side(prefix: DataFrame, mark: str) -> DataFrame:
+    names = {"doc_id": mark, "component": f"c{mark}", "n": f"n{mark}", "usable": f"u{mark}", "place": f"p{mark}"}
+    return prefix.select("item", *[F.col(k).alias(v) for k, v in names.items()])
+
+
+def central_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """For each item, the other components' members with the most central one of its largest component."""
+    best = F.max(F.struct((F.col("usable") / F.col("n")).alias("share"), "doc_id", "component", "n", "usable", "place"))
+    groups = prefix.groupBy("item", "component").agg(F.count("*").alias("size"), best.alias("best"))
+    heads = groups.groupBy("item").agg(F.max(F.struct("size", "best")).alias("x"), F.sum("size").alias("w"),
+                                       F.count("*").alias("parts")).filter("parts > 1").select(
+        "item", "w", *[F.col(f"x.best.{k}").alias(v) for k, v in
+                       (("doc_id", "b"), ("component", "cb"), ("n", "nb"), ("usable", "ub"), ("place", "pb"))])
+    near = lookup(_side(prefix, "a"), heads, "item", "w")
+    return near.filter((F.col("ca") != F.col("cb")) & can_reach(percent)).select("a", "b").distinct()
+
+
+def crossing_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """All pairs from different components that share a prefix item and can still be similar."""
+    crossing = prefix.groupBy("item").agg((F.min("component") < F.max("component")).alias("x")).filter("x").select("item")
     rest = prefix.join(crossing, "item", "left_semi")
-    left = rest.select("item", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = rest.select("item", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, ["item"]).filter(near).select("a", "b").distinct()
+    return _side(rest, "a").join(_side(rest, "b"), "item").filter(
+        (F.col("ca") < F.col("cb")) & can_reach(percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-6) -> DataFrame:
@@ -143,9 +175,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
        two signature entries for one evaluation.  Entries are banded; the number of bands makes
        a pair at the threshold share no band with probability ``miss`` at most.
     3. In every bucket all classes are compared with one pivot, on full sets.
-    4. Buckets that still hold several components go through a prefix-filter join of the
-       pairs across components, which misses none; so a link is not lost because the
-       pivot was a poor one, and no bucket is expanded into all pairs.
+    4. Documents whose buckets still hold several components meet by prefix filtering: first
+       with the most central member of a group, then, across the components that are left, all
+       that can still be similar.  So a link is not lost because a pivot was a poor one,
+       and no bucket is expanded into all pairs.
 
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept.  Rows with the
     same id are one document.  A null id takes the component of its class of equal sets, null
@@ -174,18 +207,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     links = stage(confirmed(pairs, sets, percent), "neardup-links")
     found = stage(components(links, "neardup-round"), "neardup-components")
 
-    def component(df: DataFrame) -> DataFrame:
+    def placed(df: DataFrame, found: DataFrame) -> DataFrame:
         return df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
 
-    placed = component(ids)
-    seen = shared.select("doc_id", "band").join(placed, "doc_id")
-    mixed_bands = seen.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    unsettled = seen.join(mixed_bands.select("band"), "band", "left_semi").select("doc_id", "component").distinct()
-    more = prefix_pairs(stage(unsettled, "neardup-unsettled"), sets, percent)
-    extra = stage(confirmed(stage(more.join(pairs, ["a", "b"], "left_anti"), "neardup-more"), sets, percent), "neardup-extra")
-    edges = extra.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b"))
-    final = components(edges, "neardup-round").withColumnRenamed("node", "rep")
+    def merged(found: DataFrame, extra: DataFrame) -> DataFrame:
+        known = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return stage(components(extra.unionByName(known), "neardup-round"), "neardup-components")
+
+    seen = shared.select("doc_id", "band").join(placed(ids, found), "doc_id")
+    several = seen.groupBy("band").agg((F.min("component") < F.max("component")).alias("x")).filter("x").select("band")
+    unsettled = seen.join(several, "band", "left_semi").select("doc_id", "component").distinct()
+    prefix = stage(prefixes(stage(unsettled, "neardup-unsettled"), sets, percent), "neardup-prefix")
+    # outliers of a large group first meet its most central member, so that few are left for the full comparison
+    central = stage(central_pairs(prefix, percent).join(pairs, ["a", "b"], "left_anti"), "neardup-central")
+    found = merged(found, stage(confirmed(central, sets, percent), "neardup-links"))
+    prefix = placed(prefix.drop("component"), found)
+    rest = crossing_pairs(prefix, percent).join(pairs, ["a", "b"], "left_anti").join(central, ["a", "b"], "left_anti")
+    final = merged(found, stage(confirmed(stage(rest, "neardup-rest"), sets, percent), "neardup-links"))
+    final = final.withColumnRenamed("node", "rep")
     named = lookup(signed.select("doc_id", "n_shingles", "set_key"), classes, "set_key", "w", "left")
     joined = named.join(final.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left")
     # an empty set is its own component, and so is a class without links
