@@ -10,26 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spellpanel.llm.common import lookup
-from spellpanel.llm.markup import is_container, own_container, preference, read_page, slot_text, weigh
+from spellpanel.llm.markup import article_print, is_container, own_container, preference, read_page, slot_text, weigh
 from spellpanel.session import stage
 
 #: Share of a host's pages that hold a class of tokens, and pages at least, for it to be template.
 SUPPORT, MIN_PAGES = 0.5, 2
 #: The same for text that is dropped as part of the template: a paragraph two pages share is none.
 TEXT_SUPPORT, TEXT_PAGES = 0.8, 5
+#: Share of a host's article text from which what its pages have in common is a copied article, not template.
+COPIED = 0.5
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """key, host and one entry a token: elements by path, texts by path and words.
+    """key, host, print (hash of the article text), chars of it, and one entry a token.
 
-    ``n`` occurrences, first ``place``, ``depth``, characters of article text below (``mass``), kind
-    (0 other element, 1 to 3 containers by preference, -1 text).
+    Elements are told by path, texts by path and words: ``n`` occurrences, first ``place``, ``depth``,
+    characters of article text in it (``mass``), kind (0 other element, 1 to 3 containers by
+    preference, -1 text).
     """
     names = ("token", "n", "place", "depth", "mass", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: dict[str, list] = {c: [] for c in names}
+            prints, chars = [], []
             for source in batch.column("html").to_pylist():
                 page = read_page(source or "")
                 weigh(page)
@@ -42,22 +46,34 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                         seen[e.path][2] += e.mass
                     else:
                         seen[e.path] = [e.at, e.depth, e.mass, kind]
-                for own, _, mark, _ in page.texts:
+                for own, words, mark, _ in page.texts:
                     if mark:
+                        e = page.elements[own]
                         times[mark] += 1
-                        seen.setdefault(mark, [page.elements[own].at, page.elements[own].depth + 1, 0, -1])
+                        seen.setdefault(mark, [e.at, e.depth + 1, 0, -1])
+                        seen[mark][2] += 0 if e.aside or e.link else len(words.strip())
+                prints.append(article_print(page))
+                chars.append(page.elements[0].mass)
                 columns["token"].append(list(times))
                 columns["n"].append(list(times.values()))
                 for k, c in enumerate(names[2:]):
                     columns[c].append([seen[t][k] for t in times])
             yield pa.record_batch({
                 "key": batch.column("key"), "host": batch.column("host"),
+                "print": pa.array(prints, pa.int64()), "chars": pa.array(chars, pa.int64()),
                 **{c: pa.array(v, pa.list_(pa.int64() if c in ("token", "mass") else pa.int32())) for c, v in columns.items()}})
 
-    schema = "key long, host string, token array<long>, n array<int>, place array<int>, depth array<int>, mass array<long>, kind array<int>"
+    schema = "key long, host string, print long, chars long, token array<long>, n array<int>, place array<int>, depth array<int>, mass array<long>, kind array<int>"
     return pages.select("key", "host", "html").mapInArrow(run, schema)
 
 
+def distinct_pages(tokens: DataFrame) -> DataFrame:
+    """One page of each group of a host's pages with the same article text, so that copies are no evidence."""
+    rest = [c for c in tokens.columns if c not in ("host", "print")]
+    return tokens.groupBy("host", "print").agg(F.min(F.struct("key", *[c for c in rest if c != "key"])).alias("page")).select(
+        "host", "page.*")
+
+
 def host_templates(tokens: DataFrame) -> DataFrame:
     """host, pages, container (path of the main slot, null if none) and constant (hashes of template text).
 
@@ -65,8 +81,11 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     count, form an equivalence class.  A class is valid if it has several tokens, is on enough
     pages, and its tokens come in the same order on all of them.  Valid classes nest by their
     paths; the slot taken is the container that holds nearly all text of the host's pages.
+
+    ``tokens`` has each article of a host once (``distinct_pages``).  Where the text in common is more
+    than ``COPIED`` of the host's article text, the pages are near copies and none of it is template.
     """
-    hosts = tokens.groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = tokens.groupBy("host").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
     each = tokens.select("key", "host", F.explode(F.arrays_zip("token", "n", "place", "depth", "mass", "kind")).alias("t")).select(
         "key", "host", "t.*")
     vectors = each.groupBy("host", "token").agg(
@@ -88,8 +107,9 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     sized = template.join(template.groupBy("host").agg(most.alias("most")), "host")
     slot = F.max(F.when((F.col("kind") > 0) & (F.col("most") > 0) & (F.col("mass") >= 0.9 * F.col("most")),
                         F.struct("kind", "depth", "mass", "token")))
-    fixed = F.collect_list(F.when((F.col("kind") == -1) & (F.col("held") >= TEXT_PAGES)
-                                  & (F.col("held") >= TEXT_SUPPORT * F.col("pages")), F.col("token")))
+    shared = ((F.col("kind") == -1) & (F.col("held") >= TEXT_PAGES) & (F.col("held") >= TEXT_SUPPORT * F.col("pages")))
+    fixed = F.when(F.coalesce(F.sum(F.when(shared, F.col("mass"))), F.lit(0)) <= COPIED * F.max("chars"),
+                   F.collect_list(F.when(shared, F.col("token"))))
     return sized.groupBy("host").agg(F.max("pages").alias("pages"), slot["token"].alias("container"), fixed.alias("constant"))
 
 
@@ -104,12 +124,13 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     are joined by an empty line.
 
     Null or empty html gives an empty text.  A null url is a host of its own.  Repeated rows are pages
-    each.  An empty table gives no rows.  Other columns are ignored.
+    each in the result; the template is judged on pages with different article text, and a host with fewer than
+    two of those has none.  An empty table gives no rows.  Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
                         host.alias("host")).withColumn("key", F.xxhash64("page_id", "url", F.crc32(F.col("html").cast("binary"))))
-    tokens = stage(page_tokens(rows), "page-tokens")
+    tokens = stage(distinct_pages(page_tokens(rows)), "page-tokens")
     templates = stage(host_templates(tokens), "host-templates")
     kind = dict(pages.select("page_id").dtypes)["page_id"]
 

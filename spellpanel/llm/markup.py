@@ -132,6 +132,12 @@ def weigh(page: Page, constant: frozenset[int] | set[int] = frozenset()) -> None
             own = page.elements[own].parent
 
 
+def article_print(page: Page) -> int:
+    """Hash of the page's article text, links left out: the same for copies of a page."""
+    return _hash(*(mark for own, _, mark, _ in page.texts
+                   if mark and not page.elements[own].aside and not page.elements[own].link))
+
+
 def preference(tag: str) -> int:
     """Which container is taken among those that hold nearly all of the text."""
     return {"article": 2, "main": 1}.get(tag, 0)

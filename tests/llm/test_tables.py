@@ -153,6 +153,26 @@ def test_pages(spark):
     assert extraction.extract_main_text(docs.limit(0)).count() == 0
 
 
+def test_pages_of_copies(spark):
+    """A repeated article is no template: exact copies alone, beside another page, as repeated rows, and near copies."""
+    art = "<h1>The same title</h1><p>The same text of some length</p><p>and its end</p>"
+    want = "The same title\n\nThe same text of some length\n\nand its end"
+    rows = [page(i, art, "copies") for i in range(6)] + [page(10 + i, art, "mixed") for i in range(5)]
+    rows += [page(20, "<p>another</p>", "mixed")] + [page(30, art, "rows")] * 7
+    rows += [page(40 + i, f"{art}<p>seen {i}</p>", "near") for i in range(8)]
+    rows += [page(60 + i, f"<p>A long enough own text of page {i * 7919}</p><p>All rights kept</p>", "real") for i in range(8)]
+    got = extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = r["page_id"]
+        if i < 40 and i != 20:
+            assert r["text"] == want and r["n_chars"] == len(want)
+        elif 40 <= i < 60:
+            assert r["text"] == f"{want}\n\nseen {i - 40}"
+        elif i >= 60:
+            assert r["text"] == f"A long enough own text of page {(i - 60) * 7919}" and r["by_template"]
+
+
 def test_leaks(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text")
