@@ -197,6 +197,56 @@ def test_leaks(spark, small):
     assert decontaminate.contaminated(every, items.limit(0)).count() == 0
 
 
+def test_leaks_recall(spark, small):
+    """Items of 8 to 150 words planted at random places, against a search for common subsequences in all windows."""
+    from spellpanel.llm.arrays import word_hashes
+
+    def hashed(text):
+        return word_hashes([text.encode()])[0]
+
+    def brute(doc, item, answer):
+        n = len(item)
+        for a in range(0, max(len(doc) - n, 0) + 1, max(n // 4, 1)):
+            region = doc[a : a + 2 * n]
+            common = decontaminate.common_length(item, region)
+            if common >= 0.8 * n or (common >= 0.6 * n and decontaminate.common_length(answer, region) == len(answer)):
+                return True
+        return False
+
+    draw = random.Random(11)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    long = [r["text"].split() for r in docs.orderBy("doc_id").collect() if len((r["text"] or "").split()) > 200]
+    items = [(r["item_id"], r["text"].split()) for r in
+             spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").limit(60).collect()]
+    for k, n in enumerate([8, 12, 100, 150] * 10):
+        at = draw.randrange(len(long[k]) - n)
+        items.append((10**6 + k, long[k][at : at + n]))
+    pool, planted, kinds = long[len(long) // 2 :], [], {}
+    for item_id, words in items:
+        for kind in ("verbatim", "most", "answer"):
+            w, n = list(words), len(words)
+            free = list(range(n)) if kind == "most" else list(range(n - len(decontaminate.answer_words(" ".join(w)).split())))
+            lost = {"verbatim": 0, "most": n // 5, "answer": min(2 * n // 5, len(free))}[kind]
+            for j in draw.sample(free, lost):
+                w[j] = draw.choice(draw.choice(pool))
+            host = draw.choice(pool)
+            at = draw.randrange(len(host))
+            doc_id = 10**6 + len(planted)
+            planted.append((doc_id, " ".join(host[:at] + w + host[at:])))
+            kinds[doc_id] = (item_id, kind, 0 if n < 16 else 1 if n < 30 else 2 if n < 100 else 3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    every = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(every, bench).collect()}
+    text = {i: " ".join(w) for i, w in items}
+    tally = {}
+    for doc_id, body in planted:
+        item_id, kind, length = kinds[doc_id]
+        if brute(hashed(body), hashed(text[item_id]), hashed(decontaminate.answer_words(text[item_id]))):
+            tally.setdefault((kind, length), []).append((doc_id, item_id) in got)
+    print({k: f"{sum(v)}/{len(v)}" for k, v in sorted(tally.items())})
+    assert len(tally) == 12 and all(sum(v) >= 0.9 * len(v) for v in tally.values())
+
+
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert "pipeline" in names
