@@ -13,35 +13,70 @@ from pyspark.sql import functions as F
 from spellpanel.llm.common import lookup
 from spellpanel.session import stage
 
-_END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
+#: Marks that end a sentence, with quote marks and brackets after them: before white space, or anywhere
+#: for the full-width and Indic ones, which no blank follows.
+_END = re.compile(r"[.!?\u2026\u061f\u06d4\u1362]+[\"'\u2019\u201d\u00bb)\]]*(?=\s)\s*"
+                  r"|[\u3002\uff0e\uff01\uff1f\uff61\u0964\u0965]+[\"'\u2019\u201d\u00bb\u300d\u300f\uff09)\]]*\s*|\n\s*")
+_WORD = re.compile(r"\S+")
+#: A sentence of more words is cut after each word whose hash ends in CUT_BITS zero bits.
+LONG, CUT_BITS = 16, 2
+#: Words from which one unit is a run by itself.
+SINGLE = 50
 _LAST_ID = 9223372036854775807
 
 
-def segments(text: str) -> list[tuple[int, int, str, int]]:
-    """Start, end, blank-normalised words and word count of each sentence; parts without a word are none."""
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _units(text: str, start: int, end: int) -> Iterator[int]:
+    """Ends of the units of one sentence: where its own words say so, so that equal passages are cut alike."""
+    cut = False
+    for m in _WORD.finditer(text, start, end):
+        if cut:
+            yield m.start()
+        cut = _digest(m.group()) & ((1 << CUT_BITS) - 1) == 0
+    yield end
+
+
+def segments(text: str) -> list[tuple[int, int, str, int, bool]]:
+    """Start, end, blank-normalised words and word count of each unit, and whether it ends a sentence; parts without a word are none.
+
+    A unit is a sentence, or a part of one of more than ``LONG`` words (see ``_units``), so that texts
+    without sentence marks, and passages that start or end inside a sentence, have units as well.
+    """
     found, at = [], 0
     for end in (*(m.end() for m in _END.finditer(text)), len(text)):
         words = text[at:end].split()
-        if words:
-            found.append((at, end, " ".join(words), len(words)))
-            at = end
+        if not words:
+            continue
+        if len(words) <= LONG:
+            found.append((at, end, " ".join(words), len(words), True))
+        else:
+            start = at
+            for cut in _units(text, at, end):
+                own = text[start:cut].split()
+                found.append((start, cut, " ".join(own), len(own), cut == end))
+                start = cut
+        at = end
     return found
 
 
 def sentence_runs(text: str | None, sentences: int, words: int) -> list[tuple[int, int, int]]:
-    """Hash, first sentence and length of the run that starts at each sentence.
+    """Hash, first unit and length of the run that starts at each unit (see ``segments``).
 
-    A run is the shortest one with ``sentences`` sentences, or with two and ``words`` words.
-    It depends on nothing before its start, so equal passages give equal runs wherever they stand.
+    A run is the shortest one with the ends of ``sentences`` sentences, or with two units and ``words``
+    words, or one unit of ``SINGLE`` words.  It depends on nothing before its start, so equal passages give equal runs wherever they stand.
     """
     parts = segments(text or "")
     found = []
     for i in range(len(parts)):
-        total = 0
-        for k in range(i, min(i + sentences, len(parts))):
+        total = ends = 0
+        for k in range(i, len(parts)):
             total += parts[k][3]
+            ends += parts[k][4]
             n = k - i + 1
-            if n == sentences or (n >= 2 and total >= words):
+            if ends == sentences or (n >= 2 and total >= words) or total >= SINGLE:
                 run = "\n".join(p[2] for p in parts[i : k + 1])
                 found.append((xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass")) - (1 << 63), i, n))
                 break
@@ -54,7 +89,9 @@ def sentence_dedup(docs: DataFrame, sentences: int = 3, words: int = 20) -> Data
     Runs of consecutive sentences (see ``sentence_runs``) are hashed over whole texts and met
     in one global aggregate, which finds the first occurrence by id and position; all other
     occurrences lose the sentences they cover.  The most frequent runs are joined back without
-    a shuffle, so a passage that a third of all documents hold makes no hot task.
+    a shuffle, so a passage that a third of all documents hold makes no hot task.  Long sentences are
+    cut into units that count as sentences here, so texts without sentence marks and passages that start
+    or end inside a sentence are compared too, up to the units at the passage's two ends.
 
     Returns doc_id, n_sentences, n_removed, n_runs (repeated later runs) and text, the rest.  Null
     text stays null, with no sentences; blank text stays as it is.  Rows with the same id are
@@ -93,7 +130,7 @@ def sentence_dedup(docs: DataFrame, sentences: int = 3, words: int = 20) -> Data
                 counts.append(len(hits or ()))
                 if out:
                     keep, at = [], 0
-                    for i, (a, b, _, _) in enumerate(parts):
+                    for i, (a, b, *_) in enumerate(parts):
                         keep.append(text[at:a] if i in out else text[at:b])
                         at = b
                     text = "".join(keep) + text[at:]

@@ -115,3 +115,18 @@ def test_sentence_runs(spark):
     assert got[5]["text"] is None and got[6]["text"] == "" and got[4]["text"] == ""
     again = sentences.sentence_dedup(docs.unionByName(docs)).collect()
     assert sorted(r["n_removed"] for r in again if r["doc_id"] in (1, 2)) == [0, 0, 3, 3]
+
+
+def test_passages_without_sentence_ends(spark):
+    """Copies of one sentence, passages that start and end inside a sentence, and other sentence marks."""
+    one, inner = " ".join(words(70, 31)), " ".join(words(60, 32))
+    quoted = " ".join(f'"{" ".join(words(4, 40 + i))}."' for i in range(4))
+    marks = "".join(f"{a}\u3002" for a in ("\u5929\u5730", "\u7384\u9ec4", "\u5b87\u5b99", "\u6d2a\u8352"))
+    rows = [(1, one), (2, one), (3, " ".join(words(40, 33)) + " " + inner + " " + " ".join(words(40, 34))),
+            (4, " ".join(words(30, 35)) + " " + inner + " " + " ".join(words(30, 36)) + ". Its end."),
+            (5, quoted), (6, f"Before it! {quoted}"), (7, marks), (8, f"\u4e2d {marks}"), (9, "same1 " * 80), (10, "same1 " * 80)]
+    got = {r["doc_id"]: r["text"] for r in sentences.sentence_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == rows[i - 1][1] for i in (1, 3, 5, 7, 9)) and got[2] == "" and got[10] == ""
+    left = set(got[4].split())
+    assert len(left & set(inner.split())) <= 20 and set(words(20, 35)) <= left and "end." in left
+    assert got[6] == "Before it! " and got[8].startswith("\u4e2d") and len(got[8]) < 8
