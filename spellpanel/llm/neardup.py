@@ -238,9 +238,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-6) -> DataFrame:
     """One document of each component, with all columns: the one with the smallest id.
 
-    Rows without an id cannot be named by the classes; one row of each of their texts stays.
+    Rows without an id take part under a hash of their text from the top of the ids, so that a document
+    with an id is kept before one without.
     """
-    named = docs.filter("doc_id is not null")
-    kept = near_duplicates(named, size, percent, rows, miss).filter("kept").select("doc_id").distinct()
-    once = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    last = F.lit(9223372036854775807) - F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), last))
+    kept = near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), size, percent, rows, miss).filter(
+        "kept").select(F.col("doc_id").alias("_id")).distinct()
+    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)

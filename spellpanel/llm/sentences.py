@@ -23,6 +23,8 @@ LONG, CUT_BITS = 16, 2
 #: Words from which one unit is a run by itself.
 SINGLE = 50
 _LAST_ID = 9223372036854775807
+#: What tells a document: its id, a hash of its text and, for rows without an id, a number.
+OWN = ("own", "key", "copy")
 
 
 def _digest(text: str) -> int:
@@ -94,30 +96,34 @@ def sentence_dedup(docs: DataFrame, sentences: int = 3, words: int = 20) -> Data
     or end inside a sentence are compared too, up to the units at the passage's two ends.
 
     Returns doc_id, n_sentences, n_removed, n_runs (repeated later runs) and text, the rest.  Null
-    text stays null, with no sentences; blank text stays as it is.  Rows with the same id are
+    text stays null, with no sentences; blank text stays as it is.  Rows with the same id and text are
     one document at one place: they are not removed against each other, and each loses what
-    the other does.  Null ids come last and count as one id.  An empty table gives no rows.
+    the other does.  Rows with the same id and other texts are documents each, and so is every row
+    without an id; these come last, in the order of a hash of their text.  An empty table gives no rows.
     Other columns are ignored.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sentence_runs(t, sentences, words) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({
-                "own": batch.column("own"),
+                **{c: batch.column(c) for c in OWN},
                 "h": pa.array([[r[0] for r in f] for f in found], pa.list_(pa.int64())),
                 "at": pa.array([[r[1] for r in f] for f in found], pa.list_(pa.int32())),
                 "n": pa.array([[r[2] for r in f] for f in found], pa.list_(pa.int32())),
             })
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("own"))
-    scanned = stage(rows.select("own", "text").mapInArrow(scan, "own long, h array<long>, at array<int>, n array<int>"),
-                    "sentence-runs")
-    runs = scanned.select("own", F.explode(F.arrays_zip("h", "at", "n")).alias("r")).select("own", "r.h", "r.at", "r.n")
-    repeated = runs.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("own", "at")).alias("first")).filter(
+    every = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # rows without an id are numbered, and written so that a number is given once
+    unnamed = stage(every.filter("doc_id is null").withColumn("copy", F.monotonically_increasing_id()), "sentence-unnamed")
+    rows = every.filter("doc_id is not null").withColumn("copy", F.lit(0).cast("long")).unionByName(unnamed).select(
+        "doc_id", "text", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("own"), F.xxhash64("text").alias("key"), "copy")
+    scanned = stage(rows.select(*OWN, "text").mapInArrow(
+        scan, "own long, key long, copy long, h array<long>, at array<int>, n array<int>"), "sentence-runs")
+    runs = scanned.select(*OWN, F.explode(F.arrays_zip("h", "at", "n")).alias("r")).select(*OWN, "r.h", "r.at", "r.n")
+    repeated = runs.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct(*OWN, "at")).alias("first")).filter(
         "times > 1")
-    later = lookup(runs, repeated, "h", "times").filter(F.struct("own", "at") != F.col("first")).select("own", "at", "n")
-    gone = later.distinct().groupBy("own").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # bounded by the text
+    later = lookup(runs, repeated, "h", "times").filter(F.struct(*OWN, "at") != F.col("first")).select(*OWN, "at", "n")
+    gone = later.distinct().groupBy(*OWN).agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # bounded by the text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,5 +146,5 @@ def sentence_dedup(docs: DataFrame, sentences: int = 3, words: int = 20) -> Data
                 "n_removed": pa.array(removed, pa.int64()), "n_runs": pa.array(counts, pa.int64()),
                 "text": pa.array(texts, pa.string())})
 
-    return rows.join(gone, "own", "left").select("doc_id", "text", "runs").mapInArrow(
+    return rows.join(gone, list(OWN), "left").select("doc_id", "text", "runs").mapInArrow(
         cut, "doc_id long, n_sentences long, n_removed long, n_runs long, text string")

@@ -130,3 +130,23 @@ def test_passages_without_sentence_ends(spark):
     left = set(got[4].split())
     assert len(left & set(inner.split())) <= 20 and set(words(20, 35)) <= left and "end." in left
     assert got[6] == "Before it! " and got[8].startswith("\u4e2d") and len(got[8]) < 8
+
+
+def test_rows_without_id(spark):
+    """Rows without an id, and rows of one id with different texts, are documents each; of equal ones one stays."""
+    lead = "The first sentence stands here. A second one follows it. Then comes a third."
+    last = "The end has its own words. They stand once in here. So they do stay."
+    other = "Its own start is this. Its own middle is that. Its own end is not a copy."
+    rows = [(None, lead), (None, lead), (None, other), (None, f"Some more. {lead}"), (7, lead), (8, other), (8, last), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in sentences.sentence_dedup(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = [(None, ""), (None, ""), (None, ""), (None, "Some more. "), (7, lead), (8, other), (8, last), (None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    alone = sentences.sentence_dedup(spark.createDataFrame([(None, lead)] * 5 + [(None, last)], SCHEMA)).collect()
+    assert sorted(r["text"] for r in alone) == sorted([lead, "", "", "", "", last])
+
+
+def test_near_copies_without_id(spark):
+    base = family(12, 77)
+    rows = [(3, base[0]), (None, base[1]), (None, base[0]), (None, " ".join(words(90, 78))), (None, None), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[3], rows[4]]))

@@ -197,6 +197,15 @@ def test_leaks(spark, small):
     assert decontaminate.contaminated(every, items.limit(0)).count() == 0
 
 
+def test_leaks_without_id(spark, small):
+    """A row without an id, or of an id that another text has too, is judged by its own text."""
+    items = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").limit(2)
+    leak = items.first()["text"]
+    rows = [(None, f"Before it. {leak}"), (None, "plain words"), (4, leak), (4, "another text"), (5, None)]
+    kept = decontaminate.decontaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(str(tuple(r)) for r in kept) == sorted(map(str, [rows[1], rows[3], rows[4]]))
+
+
 def test_leaks_recall(spark, small):
     """Items of 8 to 150 words planted at random places, against a search for common subsequences in all windows."""
     from spellpanel.llm.arrays import word_hashes
