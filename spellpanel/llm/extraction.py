@@ -79,8 +79,8 @@ def host_templates(tokens: DataFrame) -> DataFrame:
 
     Tokens with the same occurrence vector over a host's pages, told by a sum of hashes of page and
     count, form an equivalence class.  A class is valid if it has several tokens, is on enough
-    pages, and its tokens come in the same order on all of them.  Valid classes nest by their
-    paths; the slot taken is the container that holds nearly all text of the host's pages.
+    pages, and its tokens come in the same order on all of them.  Classes are not
+    nested into one template; the one slot taken is the container that holds nearly all text of the host's pages.
 
     ``tokens`` has each article of a host once (``distinct_pages``).  Where the text in common is more
     than ``COPIED`` of the host's article text, the pages are near copies and none of it is template.
