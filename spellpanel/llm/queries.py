@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spellpanel.llm import decontaminate, extraction, langid, mixing, neardup, quality, sentences, sharding, substrings, tokens
+from spellpanel.llm import (alignment, decontaminate, extraction, langid, mixing, neardup, quality, sentences, sharding, spelling,
+                            substrings, tokens, vectors)
 from spellpanel.llm import sql as twins
 
 #: Rank file of a public byte-level tokenizer for many languages, and its split pattern.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The two public tokenizers that are aligned: a byte-level one and one of word pieces.
+FIRST, SECOND = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +65,18 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"), FIRST, SECOND)
+
+
+def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), typo=199)
+
+
+def op13_sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_mix_sources": op2_mix_sources,
@@ -73,10 +88,15 @@ QUERIES: dict[str, Query] = {
     "op8_min_max_neardup": op8_min_max_neardup,
     "op9_language_codes": op9_language_codes,
     "op10_shard_documents": op10_shard_documents,
+    "op11_merge_path": op11_merge_path,
+    "op12_trie_pairs": op12_trie_pairs,
+    "op13_sign_hashes": op13_sign_hashes,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": twins.MIX_SOURCES,
     "op3_quality_rules": twins.QUALITY_RULES,
     "op10_shard_documents": twins.SHARD_DOCUMENTS,
+    "op12_trie_pairs": twins.SPELLING_VARIANTS,
+    "op13_sign_hashes": twins.NEAR_VECTORS,
 }

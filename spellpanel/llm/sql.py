@@ -151,3 +151,65 @@ SELECT doc_id, size,
        (n - min(n) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
 FROM c, tab
 """
+
+# the checksum as in SHARD_DOCUMENTS, of each document's distinct long runs
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), summed AS (
+  SELECT run, c, length(run)::BIGINT AS len, xor(4294967295, list_reduce(
+           list_concat([4294967295], list_transform(range(1, octet_length(encode(key)) + 1),
+                       lambda k: ('0x' || substr(hex(encode(key)), 2 * k - 1, 2))::BIGINT)),
+           lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) AS h
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM counted), tab
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT c, CASE WHEN h % 199 = 0 THEN substring(run, 1, h % len) || substring(run, h % len + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), d AS (
+  SELECT word, k, substring(word, 1, k - 1) || substring(word, k + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word)::BIGINT + 1)) AS k FROM words)
+), near AS (
+  SELECT a.word AS w, b.word AS u FROM d a JOIN d b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, x.word FROM d JOIN words x ON d.rest = x.word
+  UNION SELECT x.word, d.word FROM d JOIN words x ON d.rest = x.word
+), best AS (
+  SELECT w, count(*)::BIGINT AS n_near, first(u ORDER BY n DESC, encode(u)) AS u, max(n) AS form_n
+  FROM near JOIN words ON words.word = u GROUP BY w
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN u END AS form,
+         CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON best.w = words.word
+), chain(word, here, step) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = here WHERE forms.form IS NOT NULL
+), roots AS (SELECT word, first(here ORDER BY step DESC) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
+), v AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM r
+  WHERE label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach(rid, other) AS (
+  SELECT rid, rid FROM r UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.other
+), low AS (
+  SELECT reach.rid, min(o.vec_id) AS component_id FROM reach JOIN r o ON o.rid = reach.other GROUP BY reach.rid
+), n AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, low.component_id, r.vec_id IS NOT DISTINCT FROM low.component_id AS kept
+FROM r JOIN low USING (rid) LEFT JOIN n USING (rid)
+"""
