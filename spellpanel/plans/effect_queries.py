@@ -51,35 +51,23 @@ def m01_meta(spark, sf):
 
 @query(
     "m02_covariate_slope",
-    """SELECT model, round(sum(zx * zy) / sum(zx * zx), 6) + CAST(0 AS DOUBLE) AS slope FROM (
-  SELECT model,
-    y - avg(y) OVER (PARTITION BY model, unit) - avg(y) OVER (PARTITION BY model, time) + avg(y) OVER (PARTITION BY model) AS zy,
-    x - avg(x) OVER (PARTITION BY model, unit) - avg(x) OVER (PARTITION BY model, time) + avg(x) OVER (PARTITION BY model) AS zx
-  FROM (SELECT e.model, e.unit, e.time, e.y, i.quintile_1_pct_ec AS x FROM (
-      SELECT c.*, s.treated FROM (SELECT c.* FROM complete c JOIN inputs i
-          ON split_part(c.model, '|', 1) = i.cohort AND c.unit = i.PROCODE3 AND c.time = i.time
-          WHERE i.quintile_1_pct_ec IS NOT NULL) c
-      JOIN (SELECT u.*, CASE WHEN n_cells < t.T THEN 'unbalanced' WHEN treated = 1 AND T0 < 6 THEN 'few' ELSE 'kept' END AS status
-        FROM (SELECT c.model, c.unit, count(*) AS n_cells, count(*) FILTER (WHERE c.d = 0) AS T0, max(c.d) AS treated
-              FROM complete c JOIN inputs i ON split_part(c.model, '|', 1) = i.cohort AND c.unit = i.PROCODE3
-                AND c.time = i.time WHERE i.quintile_1_pct_ec IS NOT NULL GROUP BY c.model, c.unit) u
-        JOIN (SELECT c.model, count(DISTINCT c.time) AS T FROM complete c JOIN inputs i
-                ON split_part(c.model, '|', 1) = i.cohort AND c.unit = i.PROCODE3 AND c.time = i.time
-                WHERE i.quintile_1_pct_ec IS NOT NULL GROUP BY c.model) t ON u.model = t.model) s
-      ON c.model = s.model AND c.unit = s.unit
-      WHERE s.status = 'kept' AND s.treated = 0 AND c.model LIKE '%los.dc_ratio') e
-    JOIN inputs i ON split_part(e.model, '|', 1) = i.cohort AND e.unit = i.PROCODE3 AND e.time = i.time)) GROUP BY model""",
+    """SELECT model, round(sum(e * ex) / sum(ex * ex), 6) + CAST(0 AS DOUBLE) AS slope FROM one_alternating
+WHERE round = 300 GROUP BY model""",
 )
 def m02(spark, sf):
     outcome = E.Outcome("elect", "los.dc_ratio", "dc", "wt_n_activity", ("quintile_1_pct_ec",))
     return E.covariate_slope(chain.eligible(spark, sf, [outcome]))
 
 
-@query("m02_all_slopes")
+@query(
+    "m02_all_slopes",
+    """SELECT model, pos, round(coalesce(slope / nullif(scale, 0), 0), 6) + CAST(0 AS DOUBLE) AS slope FROM (
+  SELECT model, unnest(range(1, len(m) + 1))::INT AS pos, unnest(list_transform(m, lambda line: line[len(line)])) AS slope,
+    unnest(list_transform(scales, lambda z: CASE WHEN z <= 1e-8 THEN 0 ELSE z END)) AS scale
+  FROM elimination WHERE step = len(m))""",
+)
 def m02_all(spark, sf):
-    covariates = ("catchment_cat", "white_pct_ec", "quintile_1_pct_ec")
-    outcome = E.Outcome("elect", "los.dc_ratio", "dc", "wt_n_activity", covariates)
-    return E.slopes(chain.eligible(spark, sf, [outcome]))
+    return E.slopes(chain.eligible(spark, sf, chain.outcomes(with_covariates=True)))
 
 
 @query("m03_factor_counterfactual")
@@ -97,7 +85,7 @@ def m04(spark, sf):
 @query("m05_choose_rank")
 def m05(spark, sf):
     kept = chain.eligible(spark, sf)
-    solution = stage(E.solve_models(E.control_gram(kept), range(E.MAX_RANK + 1)), "factors")
+    solution = stage(E.factor_solutions(kept, range(E.MAX_RANK + 1)), "solutions")
     return E.choose_rank(E.treated_fits(kept, solution))
 
 
@@ -111,9 +99,11 @@ def m06(spark, sf):
     )
 
 
-@query("m07_eligibility", "SELECT model, unit, n_cells, T0, treated, T, status FROM unit_states")
+@query("m07_eligibility", "SELECT model, unit, n_cells, n_pre, T0, treated, T, status FROM unit_states")
 def m07(spark, sf):
-    return E.unit_status(chain.cells(spark, sf)).select("model", "unit", "n_cells", "T0", "treated", "T", "status")
+    return E.unit_status(chain.cells(spark, sf)).select(
+        "model", "unit", "n_cells", "n_pre", "T0", "treated", "T", "status"
+    )
 
 
 # ------------------------------------------------------------------ inference

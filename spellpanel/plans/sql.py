@@ -186,6 +186,11 @@ _CATCH_JOIN = (
 )
 _FEATURES = "f.catchment_cat, f.sex_male_pct, f.white_pct, f.age_65_plus_pct"
 
+# Covariates of the three measures of an activity.
+_STAY_COVARIATES = (
+    "catchment_cat", "sex_male_pct_ec", "white_pct_ec", "age_65_plus_pct_ec", "quintile_1_pct_ec", "comorb_pct",
+)
+COVARIATES = (("catchment_cat", "sex_male_pct", "white_pct", "age_65_plus_pct"), _STAY_COVARIATES, _STAY_COVARIATES)
 MODELLED = {
     "elect": ("el_rate", "los_avg", "dc"),
     "hvlc": ("hvlc_rate", "los_avg_hvlc", "dc_prop_hvlc"),
@@ -399,31 +404,80 @@ FROM (SELECT * FROM old_inputs UNION ALL BY NAME SELECT * FROM new_inputs)""",
     ),
     "complete": "SELECT * FROM cells WHERE y IS NOT NULL AND d IS NOT NULL",
     "unit_states": """
-SELECT u.*, t.T, CASE WHEN n_cells < t.T THEN 'unbalanced'
-    WHEN treated = 1 AND T0 < 6 THEN 'few pre-periods' ELSE 'kept' END AS status
-FROM (SELECT model, unit, count(*) AS n_cells, count(*) FILTER (WHERE d = 0) AS T0, max(d) AS treated
-      FROM complete GROUP BY model, unit) u
+SELECT u.*, s.T0, s.treated, t.T, CASE WHEN n_pre < 6 THEN 'few pre-periods' ELSE 'kept' END AS status
+FROM (SELECT model, unit, count(*) AS n_cells, count(*) FILTER (WHERE d = 0) AS n_pre FROM complete GROUP BY model, unit) u
+JOIN (SELECT model, unit, coalesce(min(time) FILTER (WHERE d = 1) - 1, max(time)) AS T0, max(d) AS treated
+      FROM cells WHERE d IS NOT NULL GROUP BY model, unit) s ON u.model = s.model AND u.unit = s.unit
 JOIN (SELECT model, count(DISTINCT time) AS T FROM complete GROUP BY model) t ON u.model = t.model""",
     "eligible": """
 SELECT c.*, s.treated, s.T0 FROM complete c
 JOIN unit_states s ON c.model = s.model AND c.unit = s.unit WHERE s.status = 'kept'""",
     "units": "SELECT DISTINCT model, unit, CAST(T0 AS INT) AS T0 FROM eligible WHERE treated = 1",
     "sizes": """
-SELECT model, CAST(max(n) AS INT) AS T, CAST(count(*) AS INT) AS N, CAST(sum(treated) AS INT) AS Ntr
-FROM (SELECT model, unit, count(*) AS n, max(treated) AS treated FROM eligible GROUP BY model, unit) GROUP BY model""",
-    "control_mean": "SELECT model, time, avg(y) AS g FROM eligible WHERE treated = 0 GROUP BY model, time",
+SELECT model, CAST(count(DISTINCT time) AS INT) AS T, CAST(count(DISTINCT unit) AS INT) AS N,
+  CAST(count(DISTINCT unit) FILTER (WHERE treated = 1) AS INT) AS Ntr FROM eligible GROUP BY model""",
+    # unit and time effects of the controls by taking out unit and time means in turn until nothing is left
+    "alternating": """
+SELECT 0 AS round, model, unit, time, y AS e, 0::DOUBLE AS g FROM eligible WHERE treated = 0
+UNION ALL
+SELECT round + 1, model, unit, time, e - avg(e) OVER (PARTITION BY model, time), g + avg(e) OVER (PARTITION BY model, time)
+FROM (SELECT round, model, unit, time, g, e - avg(e) OVER (PARTITION BY model, unit) AS e FROM alternating WHERE round < 300)""",
+    "control_effect": "SELECT model, time, any_value(g) AS g FROM alternating WHERE round = 300 GROUP BY model, time",
     "fit_cells": """
 SELECT model, unit, time, y AS y_tr, g + a AS y_ct, y - g - a AS eff, d, w, T0 FROM (
   SELECT e.*, m.g, avg(CASE WHEN d = 0 THEN y - g END) OVER (PARTITION BY e.model, e.unit) AS a
-  FROM eligible e JOIN control_mean m ON e.model = m.model AND e.time = m.time WHERE treated = 1)""",
+  FROM eligible e JOIN control_effect m ON e.model = m.model AND e.time = m.time WHERE treated = 1)""",
     "sigma": """
-SELECT model, sum(e * e) / nullif((max(n) - 1) * (max(t) - 1), 0) AS sigma2 FROM (
-  SELECT model, y - avg(y) OVER (PARTITION BY model, unit) - avg(y) OVER (PARTITION BY model, time)
-      + avg(y) OVER (PARTITION BY model) AS e,
-    n, t
-  FROM eligible JOIN (SELECT model, count(DISTINCT unit) AS n, count(DISTINCT time) AS t
-    FROM eligible WHERE treated = 0 GROUP BY model) USING (model)
-  WHERE treated = 0) GROUP BY model""",
+SELECT model, sum(e * e) / nullif(greatest(count(*) - count(DISTINCT unit) - count(DISTINCT time) + 1, 0), 0) AS sigma2
+FROM alternating WHERE round = 300 GROUP BY model""",
+    "one_cells": """
+SELECT c.*, i.quintile_1_pct_ec AS x FROM complete c JOIN inputs i
+  ON split_part(c.model, '|', 1) = i.cohort AND c.unit = i.PROCODE3 AND c.time = i.time
+WHERE c.model LIKE '%|elect|los.dc_ratio' AND i.quintile_1_pct_ec IS NOT NULL""",
+    "one_alternating": """
+SELECT 0 AS round, c.model, c.unit, c.time, c.y AS e, c.x AS ex FROM one_cells c
+JOIN (SELECT model, unit FROM one_cells GROUP BY model, unit HAVING count(*) FILTER (WHERE d = 0) >= 6 AND max(d) = 0) k
+  ON c.model = k.model AND c.unit = k.unit
+UNION ALL
+SELECT round + 1, model, unit, time, e - avg(e) OVER (PARTITION BY model, time), ex - avg(ex) OVER (PARTITION BY model, time)
+FROM (SELECT round, model, unit, time, e - avg(e) OVER (PARTITION BY model, unit) AS e, ex - avg(ex) OVER (PARTITION BY model, unit) AS ex
+      FROM one_alternating WHERE round < 300)""",
+    "cov_cells": " UNION ALL ".join(
+        f"SELECT cohort || '|{a}|{m}' AS model, PROCODE3 AS unit, CAST(time AS INT) AS time, intervention AS d, "
+        f"[{', '.join(f'CAST({c} AS DOUBLE)' for c in [y, *x])}] AS vals FROM inputs"
+        for a, columns in MODELLED.items()
+        for m, y, x in zip(("rate", "los.ip_avg", "los.dc_ratio"), columns, COVARIATES)
+    ),
+    "cov_controls": """
+SELECT c.model, c.unit, c.time, unnest(c.vals) AS e, unnest(range(1, len(c.vals) + 1)) AS v
+FROM (SELECT * FROM cov_cells WHERE d IS NOT NULL AND len(list_filter(vals, lambda z: z IS NULL)) = 0) c
+JOIN (SELECT model, unit FROM cov_cells WHERE d IS NOT NULL GROUP BY model, unit HAVING max(d) = 0) s
+  ON c.model = s.model AND c.unit = s.unit
+JOIN (SELECT model, unit FROM cov_cells WHERE d = 0 AND len(list_filter(vals, lambda z: z IS NULL)) = 0
+      GROUP BY model, unit HAVING count(*) >= 6) k ON c.model = k.model AND c.unit = k.unit""",
+    "cov_alternating": """
+SELECT 0 AS round, model, unit, time, v, e FROM cov_controls
+UNION ALL
+SELECT round + 1, model, unit, time, v, e - avg(e) OVER (PARTITION BY model, v, time)
+FROM (SELECT round, model, unit, time, v, e - avg(e) OVER (PARTITION BY model, v, unit) AS e FROM cov_alternating WHERE round < 300)""",
+    "cov_products": """
+SELECT a.model, a.v AS i, b.v AS j, sum(a.e * b.e) AS p
+FROM (SELECT * FROM cov_alternating WHERE round = 300) a JOIN (SELECT * FROM cov_alternating WHERE round = 300) b
+  ON a.model = b.model AND a.unit = b.unit AND a.time = b.time GROUP BY ALL""",
+    # normal equations by elimination; variables are scaled alike, and one without variance keeps a zero row
+    "elimination": """
+SELECT model, 0 AS step, list(line ORDER BY i) AS m, any_value(scales) AS scales FROM (
+  SELECT q.model, q.i, any_value(z.scales) AS scales,
+    list(CASE WHEN z.scales[q.i - 1] <= 1e-8 OR (q.j > 1 AND z.scales[q.j - 1] <= 1e-8) THEN 0
+         ELSE q.p / z.scales[q.i - 1] / (CASE WHEN q.j > 1 THEN z.scales[q.j - 1] ELSE 1 END) END ORDER BY q.j = 1, q.j) AS line
+  FROM cov_products q JOIN (SELECT model, list(sqrt(p) ORDER BY i) AS scales FROM cov_products WHERE i = j AND i > 1 GROUP BY model) z
+    ON q.model = z.model
+  WHERE q.i > 1 GROUP BY q.model, q.i) GROUP BY model
+UNION ALL
+SELECT model, step + 1, CASE WHEN m[step + 1][step + 1] = 0 THEN m ELSE list_transform(m, lambda line, i: list_transform(line, lambda c, j:
+    CASE WHEN i = step + 1 THEN c / m[step + 1][step + 1]
+         ELSE c - line[step + 1] * m[step + 1][j] / m[step + 1][step + 1] END)) END, scales
+FROM elimination WHERE step < len(m)""",
     "meta": """
 SELECT s.model, T, N, Ntr, sigma2, 0 AS r_cv, 'ok' AS status FROM sizes s LEFT JOIN sigma g ON s.model = g.model""",
     "staggered": """
@@ -533,4 +587,4 @@ def with_ctes(body: str) -> str:
     if not needed:
         return body
     parts = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in needed]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

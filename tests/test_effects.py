@@ -48,7 +48,7 @@ def test_planted_effect_and_rank_are_found(fit):
     meta = {r["model"]: r for r in fit["fit_meta"].collect()}
     assert meta["new|elect|rate"]["r_cv"] == 0 and meta["new|elect|los.ip_avg"]["r_cv"] == 2
     assert meta["new|hvlc|los.ip_avg"]["status"] == "failed: fewer than two controls"
-    assert meta["new|x|rate"]["status"] == "failed: no complete units"
+    assert meta["new|x|rate"]["status"] == "failed: no eligible units"
     assert meta["new|elect|rate"]["sigma2"] == pytest.approx(0.01, rel=0.3)
     effects = {r["model"]: r["m"] for r in fit["fit_cells"].filter("d = 1").groupBy("model").agg(F.avg("eff").alias("m")).collect()}
     assert len(effects) == 4
@@ -107,11 +107,108 @@ def test_playing_controls_are_not_a_prefix(spark):
 def test_eligibility(spark):
     p = panel("m", n_co=4, starts=(3, 8), months=12)
     p.loc[(p.unit == "u001") & (p.time == 5), "y"] = None
-    status = {r["unit"]: r["status"] for r in E.unit_status(frame(spark, p)).collect()}
-    assert status == {"u000": "kept", "u001": "unbalanced", "u002": "kept", "u003": "kept",
-                      "u004": "few pre-periods", "u005": "kept"}
+    p.loc[(p.unit == "u005") & (p.time == 9), "y"] = None  # its first treated month
+    p.loc[(p.unit == "u002") & (p.time > 5), "y"] = None
+    status = {r["unit"]: (r["n_cells"], r["n_pre"], r["T0"], r["status"]) for r in E.unit_status(frame(spark, p)).collect()}
+    assert status == {"u000": (12, 12, 12, "kept"), "u001": (11, 11, 12, "kept"), "u002": (5, 5, 12, "few pre-periods"),
+                      "u003": (12, 12, 12, "kept"), "u004": (12, 3, 3, "few pre-periods"), "u005": (11, 8, 8, "kept")}
     kept = E.eligible_cells(frame(spark, p).drop("treated", "T0"))
-    assert {r["unit"] for r in E.fit_units(kept).collect()} == {"u005"}
+    assert {(r["unit"], r["T0"]) for r in E.fit_units(kept).collect()} == {("u005", 8)}
+
+
+def gappy(seed, share=0.1, **kw):
+    """A panel with a share of its cells missing, other than the treated units' last pre-months."""
+    p = panel(seed=seed, **kw)
+    drop = np.random.default_rng(seed).random(len(p)) < share
+    return p[~drop].reset_index(drop=True)
+
+
+def dense_two_way(p, slope):
+    """Least squares with a column for every control unit, every month and the covariate."""
+    co = p[p.treated == 0]
+    units, times = sorted(co.unit.unique()), sorted(co.time.unique())
+    a = np.column_stack([(co.unit.to_numpy()[:, None] == np.array(units)).astype(float),
+                         (co.time.to_numpy()[:, None] == np.array(times)).astype(float),
+                         *([np.array([x[0] for x in co.x])] if slope else [])])
+    coef, _, rank, _ = np.linalg.lstsq(a, co.y.to_numpy(), rcond=None)
+    sse = float(((co.y.to_numpy() - a @ coef) ** 2).sum())
+    g, b = dict(zip(times, coef[len(units) : len(units) + len(times)])), coef[len(units) + len(times) :]
+    out = {}
+    for unit, rows in p[p.treated == 1].groupby("unit"):
+        base = np.array([g[t] + (b[0] * x[0] if slope else 0.0) for t, x in zip(rows.time, rows.x)])
+        shift = (rows.y.to_numpy() - base)[rows.d.to_numpy() == 0].mean()
+        out |= {(unit, int(t)): float(v) for t, v in zip(rows.time, base + shift)}
+    return out, b, sse / (len(co) - rank)
+
+
+@pytest.mark.parametrize("slope", [None, 1.5])
+def test_two_way_effects_of_unbalanced_panels_are_least_squares(spark, slope):
+    p = gappy(11, n_co=30, slope=slope)
+    cells = E.eligible_cells(frame(spark, p).drop("treated", "T0"))
+    want, b, sigma2 = dense_two_way(p, slope)
+    fits = [E.fit_sweep(cells, rank=0)] + ([] if slope else [E.did_counterfactual(cells)])
+    for fit in fits:
+        got = {(r["unit"], r["time"]): r["y_ct"] for r in fit["fit_cells"].collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+        assert fit["fit_meta"].first()["sigma2"] == pytest.approx(sigma2, rel=1e-6)
+        assert {r["T0"] for r in fit["fit_units"].collect()} == {12, 14, 16}
+    if slope:
+        assert E.covariate_slope(cells).first()["slope"] == pytest.approx(b[0], abs=1e-6)
+    small = E.two_way_solution(cells, units_per_task=4).groupBy("model").agg(F.max("sse").alias("s")).first()["s"]
+    assert small == pytest.approx(E.two_way_solution(cells).first()["sse"], rel=1e-9)
+
+
+@pytest.mark.parametrize("rank,slope", [(1, None), (2, 0.7)])
+def test_factors_of_panels_with_missing_cells(spark, rank, slope):
+    """A tenth of the cells missing: the planted rank is chosen and the planted effect found."""
+    p = gappy(21 + rank, n_co=60, months=30, starts=(15, 17, 20), rank=rank, slope=slope)
+    cells = stage(E.eligible_cells(frame(spark, p).drop("treated", "T0")), "gappy")
+    fit = E.fit_sweep(cells, max_rank=3)
+    meta = fit["fit_meta"].first()
+    assert (meta["status"], meta["r_cv"], meta["N"], meta["T"]) == ("ok", rank, 63, 30)
+    assert meta["sigma2"] == pytest.approx(0.01, rel=0.25)
+    assert fit["fit_cells"].filter("d = 1").agg(F.avg("eff")).first()[0] == pytest.approx(2.0, abs=0.1)
+    assert fit["fit_cells"].count() == (p.treated == 1).sum()
+    if slope:
+        assert E.slopes(cells, rank).filter("pos = 1").first()["slope"] == pytest.approx(slope, abs=0.05)
+
+
+def test_draws_of_panels_with_missing_cells(spark):
+    """Only observed treated cells have draws, and their spread is that of the noise."""
+    p = gappy(41, n_co=40, months=20, starts=(10, 12), rank=1)
+    cells = stage(E.eligible_cells(frame(spark, p).drop("treated", "T0")), "gappy")
+    meta = stage(E.fit_sweep(cells, rank=1)["fit_meta"], "gappy-meta")
+    a = stage(E.bootstrap_effects(cells, meta, draws=60, draws_per_task=60, pool_size=30), "gappy-draws")
+    b = E.bootstrap_effects(cells.repartition(5), meta, draws=60, draws_per_task=20, pool_size=30)
+    assert a.count() == 60 * (p.treated == 1).sum()
+    gap = a.join(b.withColumnRenamed("eff", "e2"), ["model", "unit", "time", "draw"]).agg(
+        F.max(F.abs(F.col("eff") - F.col("e2"))), F.count("*")).first()
+    assert gap[0] < 1e-9 and gap[1] == a.count()
+    spread = a.groupBy("unit", "time").agg(F.stddev("eff").alias("s")).agg(F.avg("s")).first()[0]
+    assert 0.08 < spread < 0.2
+
+
+def test_missing_cells_end_at_observed_least_squares(spark):
+    """Against an alternating fit over observed cells in numpy, whatever the buckets."""
+    p = gappy(31, n_co=25, months=16, starts=(10,), rank=1)
+    cells = stage(E.eligible_cells(frame(spark, p).drop("treated", "T0")), "gappy")
+    flat = stage(E.two_way_solution(cells), "flat")
+    a = E.missing_solutions(cells, [1], flat).first()
+    b = E.missing_solutions(cells, [1], flat, units_per_task=3).first()
+    assert a["status"] == b["status"] == "ok" and a["sse"] == pytest.approx(b["sse"], rel=1e-6)
+    y = p[p.treated == 0].pivot(index="unit", columns="time", values="y").to_numpy()
+    seen, y = ~np.isnan(y), np.nan_to_num(y)
+    f, best = np.random.default_rng(0).normal(size=(16, 1)), None
+    g = np.zeros(16)
+    for _ in range(3000):  # unit coefficients given the months' values, then months given the units'
+        h = np.column_stack([np.ones(16), f])
+        c = np.array([np.linalg.lstsq(h[s], (v - g)[s], rcond=None)[0] for v, s in zip(y, seen)])
+        for t in range(16):
+            k = seen[:, t]
+            g[t], f[t, 0] = np.linalg.lstsq(np.column_stack([np.ones(k.sum()), c[k, 1]]), y[k, t] - c[k, 0], rcond=None)[0]
+        h = np.column_stack([np.ones(16), f])
+        best = float((seen * (y - g - c @ h.T) ** 2).sum())
+    assert a["sse"] == pytest.approx(best, rel=1e-4)
 
 
 def test_row_counts_of_the_levels(table, fit):
