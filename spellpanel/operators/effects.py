@@ -257,8 +257,12 @@ def covariate_slope(cells: DataFrame) -> DataFrame:
 
 
 def slopes(cells: DataFrame, rank: int = 0) -> DataFrame:
-    """Covariate slopes (model, position, slope) at a given number of factors."""
-    sol = factor_solutions(cells, [rank]).filter("status = 'ok'").groupBy("model").agg(F.max("b").alias("b"))
+    """Covariate slopes (model, position, slope) at a given number of factors.
+
+    A model whose effects, factors and slopes leave no degree of freedom has none.
+    """
+    known = factor_solutions(cells, [rank]).filter("status = 'ok'").filter(_free(F.col("r")) > 0)
+    sol = known.groupBy("model").agg(F.max("b").alias("b"))
     return sol.select("model", F.posexplode("b").alias("pos", "slope")).withColumn("pos", F.col("pos") + 1)
 
 
@@ -454,8 +458,27 @@ def next_round(at: _Round, v: np.ndarray, fixed: np.ndarray) -> _Round:
     return _Round(means[:months], means[months:].reshape(k, months), f, b, sse, float(moved))
 
 
+def _plain_round(y: np.ndarray, at: _Round) -> _Round:
+    """:func:`next_round` without covariates, from the filled series themselves (fewer units than months make this cheap)."""
+    n, months, rank = *y.shape, at.f.shape[1]
+    z = y - y.mean(axis=1, keepdims=True)
+    means = z.mean(axis=0)
+    z = z - means
+    _, size, v = np.linalg.svd(z, full_matrices=False)
+    f = v[:rank].T * np.sqrt(months)
+    shift, spread = means - at.g, max(np.sqrt((z * z).sum() / (n * months)), 1e-150)
+    moved = max(np.abs(f @ f.T - at.f @ at.f.T).max() / months, np.abs(shift - shift.mean()).max() / spread)
+    return _Round(means, at.xg, f, at.b, float((size[rank:] ** 2).sum()), float(moved))
+
+
 def rounds_in_memory(y: np.ndarray, x: np.ndarray, seen: np.ndarray, at: _Round, rounds: int, tol: float) -> _Round:
     """All rounds over one array of units, as many as settle it."""
+    if not len(at.b):
+        for _ in range(rounds):
+            at = _plain_round(fill_missing(y, x, seen, at), at)
+            if at.moved < tol:
+                break
+        return at
     xd = _flat_covariates(x)
     fixed = _fixed_products(xd)
     for _ in range(rounds):
@@ -493,7 +516,8 @@ def missing_solutions(cells: DataFrame, ranks: Sequence[int], start: DataFrame,
     nothing moves, so the fixed point is least squares over observed cells.  ``start`` is
     :func:`two_way_solution`.  Where one bucket holds all units of a model, its rounds run in that task; the same
     rounds of other models are passes over the cells, with the state (one row a model and rank) stored after
-    each, and what has settled left out of later ones.  What does not settle in ``rounds`` gets a failed status.
+    each, and what has settled left out of later ones.  What does not settle in ``rounds`` gets a failed status; a
+    rank that leaves no degree of freedom is not tried.
     """
     co = stage(_in_buckets(cells.filter("treated = 0"), units_per_task), "em-cells")
     tasks = stage(co.select("model", "bucket").distinct().withColumn(
@@ -504,7 +528,7 @@ def missing_solutions(cells: DataFrame, ranks: Sequence[int], start: DataFrame,
     zero = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
     state = first.select(
         "model", F.explode(F.array(*[F.lit(int(r)) for r in ranks])).alias("r"), "at", "b", "n_co", "n_cells").filter(
-        "r < n_co and r < size(at)").select(
+        "r < n_co and r < size(at) and n_cells > n_co + size(at) - 1 + r * (n_co + size(at) - r) + size(b)").select(
         "model", "r", F.col("at.time").alias("times"), F.col("at.g").alias("g"), zero(F.size("b") * F.size("at")).alias("xg"),
         zero(F.col("r") * F.size("at")).alias("f"), "b", F.lit(None).cast("double").alias("sse"), "n_co", "n_cells",
         F.lit(False).alias("settled"))
@@ -744,6 +768,8 @@ def _refit(y_co, x_co, seen, y_tr, x_tr, pre, rank, start=None):
     rank = min(rank, n - 1, months - 1)
     if rank == 0:
         at = _two_way_in_memory(y_co, x_co, seen)
+    elif seen.all() and not len(x_co[0]):
+        at = _plain_round(y_co, _Round(np.zeros(months), np.zeros((0, months)), np.zeros((months, rank)), np.zeros(0)))
     elif seen.all():
         xd = _flat_covariates(x_co)
         z = np.concatenate([y_co - y_co.mean(axis=1, keepdims=True), xd], axis=1)
@@ -787,36 +813,38 @@ def bootstrap_effects(
     Each draw resamples whole residual series (controls from their own, treated
     units from prediction errors of controls that play treated), adds them to
     the fitted values without effect and refits at the chosen rank, over the cells each unit has; a residual
-    that a donor lacks is zero.  The ``pool_size`` playing controls are drawn from all controls by the seeded
-    generator, whatever their names or number.  A model's panel is months by units
-    and travels whole to each block of draws.  Generators are seeded by (seed, model,
+    that a donor lacks is zero.  The errors of ``pool_size`` plays are worked out first, in tasks of their own; who
+    plays is drawn from all controls, whatever their names or number.  A model's panel is months by units
+    and travels whole to each block of plays and draws.  Generators are seeded by (seed, model,
     draw), so the result does not depend on how the work is split.
     """
     ranked = fit_meta.filter("status = 'ok'").select("model", F.col("r_cv").alias("rank"))
-    blocks = -(-draws // draws_per_task)
-    rows = (
-        cells.join(ranked, "model")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select("model", "block", "unit", "time", F.concat(F.array("y"), F.col("x")).alias("vals"), "treated", "T0", "rank")
-    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, block, rank = pdf["model"].iloc[0], int(pdf["block"].iloc[0]), int(pdf["rank"].iloc[0])
+    def dealt(count: int, per_task: int) -> DataFrame:
+        blocks = -(-count // per_task)
+        return (
+            cells.join(ranked, "model")
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .select("model", "block", "unit", "time", F.concat(F.array("y"), F.col("x")).alias("vals"), "treated", "T0", "rank")
+        )
+
+    def arrays(pdf: pd.DataFrame):
         control, treat = pdf[pdf["treated"] == 0], pdf[pdf["treated"] == 1]
         times = np.unique(control["time"].to_numpy())
         treat = treat[np.isin(treat["time"].to_numpy(), times)]
-        months = len(times)
         y_co, x_co, seen, _ = _series(control, times)
         y_tr, x_tr, seen_tr, units = _series(treat, times)
         starts = treat.groupby(treat["unit"].astype(str))["T0"].first().loc[units].to_numpy()
-        pre = seen_tr & (times <= starts[:, None])
-        n = len(y_co)
-        co_fit, tr_fit, end = _refit(y_co, x_co, seen, y_tr, x_tr, pre, rank)
-        residual = np.where(seen, y_co - co_fit, 0.0)
-        # an unseen cell of a control has its fitted value, so that every draw has a whole series to start from
-        distinct = np.unique(starts)
-        pool = np.empty((pool_size, len(distinct), months))
-        for p in range(pool_size):
+        fit = _refit(y_co, x_co, seen, y_tr, x_tr, seen_tr & (times <= starts[:, None]), int(pdf["rank"].iloc[0]))
+        return times, (y_co, x_co, seen), (y_tr, x_tr, seen_tr, units, starts), fit
+
+    plays_per_task = max(1, -(-pool_size // 4))
+
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        model, first, rank = pdf["model"].iloc[0], int(pdf["block"].iloc[0]) * plays_per_task, int(pdf["rank"].iloc[0])
+        times, (y_co, x_co, seen), (*_, starts), (_, _, end) = arrays(pdf)
+        distinct, n, out = np.unique(starts), len(y_co), []
+        for p in range(first, min(first + plays_per_task, pool_size)):
             rng = _rng(seed, model, "pool", p)
             plays = int(rng.integers(n))
             rest = rng.choice(np.delete(np.arange(n), plays), n - 1)
@@ -824,16 +852,26 @@ def bootstrap_effects(
             played_x = np.repeat(x_co[plays][None], len(distinct), axis=0)
             before = seen[plays] & (times <= distinct[:, None])
             _, fitted, _ = _refit(y_co[rest], x_co[rest], seen[rest], played, played_x, before, rank, end)
-            pool[p] = np.where(seen[plays], played - fitted, 0.0)
-        start_at = np.searchsorted(distinct, starts)
+            out.append((model, p, np.where(seen[plays], played - fitted, 0.0).tobytes()))
+        return pd.DataFrame(out, columns=["model", "p", "errors"])
 
+    pool = stage(dealt(pool_size, plays_per_task).groupBy("model", "block").applyInPandas(play, "model string, p int, errors binary"), "boot-pool")
+
+    def run(key, pdf: pd.DataFrame, errors: pd.DataFrame) -> pd.DataFrame:
+        model, block, rank = key[0], int(key[1]), int(pdf["rank"].iloc[0])
+        times, (y_co, x_co, seen), (y_tr, x_tr, seen_tr, units, starts), (co_fit, tr_fit, end) = arrays(pdf)
+        n, months = y_co.shape
+        residual = np.where(seen, y_co - co_fit, 0.0)
+        pre = seen_tr & (times <= starts[:, None])
+        start_at = np.searchsorted(np.unique(starts), starts)
+        played = np.stack([np.frombuffer(v).reshape(-1, months) for v in errors.sort_values("p")["errors"]])
         first = block * draws_per_task
         count = min(draws_per_task, draws - first)
         eff = np.empty((count, len(units), months))
         for d in range(count):
             rng = _rng(seed, model, first + d)
             y_star = co_fit + residual[rng.integers(0, n, n)]
-            t_star = tr_fit + pool[rng.integers(0, pool_size, len(units)), start_at]
+            t_star = tr_fit + played[rng.integers(0, pool_size, len(units)), start_at]
             _, fitted, _ = _refit(y_star, x_co, seen, t_star, x_tr, pre, rank, end)
             eff[d] = t_star - fitted
         d, u, t = np.nonzero(np.broadcast_to(seen_tr, eff.shape))
@@ -841,6 +879,7 @@ def bootstrap_effects(
             {"model": model, "unit": units[u], "time": times[t], "draw": first + d + 1, "eff": eff[d, u, t]}
         )
 
-    return rows.groupBy("model", "block").applyInPandas(
+    every = pool.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // draws_per_task) - 1))))
+    return dealt(draws, draws_per_task).groupBy("model", "block").cogroup(every.groupBy("model", "block")).applyInPandas(
         run, "model string, unit string, time int, draw int, eff double"
     )

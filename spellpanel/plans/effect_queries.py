@@ -64,7 +64,8 @@ def m02(spark, sf):
     """SELECT model, pos, round(coalesce(slope / nullif(scale, 0), 0), 6) + CAST(0 AS DOUBLE) AS slope FROM (
   SELECT model, unnest(range(1, len(m) + 1))::INT AS pos, unnest(list_transform(m, lambda line: line[len(line)])) AS slope,
     unnest(list_transform(scales, lambda z: CASE WHEN z <= 1e-8 THEN 0 ELSE z END)) AS scale
-  FROM elimination WHERE step = len(m))""",
+  FROM elimination JOIN (SELECT model, count(*) - count(DISTINCT unit) - count(DISTINCT time) + 1 AS free FROM cov_controls
+    WHERE v = 1 GROUP BY model) USING (model) WHERE step = len(m) AND free > len(m))""",
 )
 def m02_all(spark, sf):
     return E.slopes(chain.eligible(spark, sf, chain.outcomes(with_covariates=True)))

@@ -216,6 +216,7 @@ SELECT CAST(o_custkey AS VARCHAR) AS TOKEN_PERSON_ID,
   CAST(l_shipdate AS DATE) AS EPISTART,
   CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS EPIEND,
   l_linenumber AS EPIORDER,
+  CAST(l_quantity AS INT) AS EPIDUR,
   CASE WHEN l_linestatus = 'O' AND l_linenumber % 2 = 0 THEN 1 ELSE 3 END AS EPISTAT,
   CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_linenumber = 7 THEN DATE '1801-01-01'
        ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 45 - 2 AS INT) END AS DISDATE,

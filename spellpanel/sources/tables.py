@@ -29,6 +29,12 @@ SPELL_LAYOUT = [
 ]
 
 
+def spell_layout(spells: DataFrame) -> DataFrame:
+    """The finished spell table in its fixed column order; a column that no source supplied is a null string."""
+    have = set(spells.columns)
+    return spells.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in SPELL_LAYOUT])
+
+
 # Declared schemas, as DDL text.
 SCHEMAS = {
     "code_list": "intermediate STRING",
