@@ -106,12 +106,13 @@ def fit_units(cells: DataFrame) -> DataFrame:
 
 
 def panel_sizes(cells: DataFrame) -> DataFrame:
-    """Months, units and treated units per model."""
-    units = cells.groupBy("model", "unit").agg(F.max("treated").alias("treated"))
-    months = cells.select("model", "time").distinct().groupBy("model").agg(F.count("*").cast("int").alias("T"))
+    """Last time, units and treated units per model; times are numbered from 1."""
+    units = cells.groupBy("model", "unit").agg(F.max("treated").alias("treated"), F.max("time").alias("last"))
     return units.groupBy("model").agg(
-        F.count("*").cast("int").alias("N"), F.sum("treated").cast("int").alias("Ntr")
-    ).join(months, "model").select("model", "T", "N", "Ntr")
+        F.max("last").cast("int").alias("T"),
+        F.count("*").cast("int").alias("N"),
+        F.sum("treated").cast("int").alias("Ntr"),
+    )
 
 
 def did_counterfactual(cells: DataFrame) -> dict[str, DataFrame]:

@@ -26,6 +26,8 @@ INFERENCE_LAYOUT = [
 ]
 KEY_TIMES = list(range(1, 13))
 POOLED = "Pooled"
+#: Counterfactuals nearer to zero have no percent change.
+SMALLEST_BASE = 1e-5
 
 
 def event_time(time: Column | str = "time", start: Column | str = "T0") -> Column:
@@ -113,7 +115,8 @@ def add_intervals(df: DataFrame, alpha: float = 0.05) -> DataFrame:
         return F.col(est) + F.lit(sign * z) * F.col(se)
 
     def percent(c: str) -> Column:
-        return ratio(F.lit(100.0) * F.col(c), "out_ct")
+        base = F.when(F.abs("out_ct") >= SMALLEST_BASE, F.col("out_ct"))  # a zero that rounding moved is still zero
+        return ratio(F.lit(100.0) * F.col(c), base)
 
     df = df.withColumns(
         {
@@ -155,18 +158,28 @@ class KeyWindow:
         return F.abs(F.col(time)).between(self.first, self.last)
 
 
-def check_key_window(window: KeyWindow, units: DataFrame, meta: DataFrame) -> None:
-    """Refuse a window that reaches past the post period of any model."""
-    reach = units.groupBy("model").agg(F.min("T0").alias("t0")).join(meta, "model")
-    if not reach.filter(F.col("T") - F.col("t0") < window.last).isEmpty():
+def model_windows(units: DataFrame, meta: DataFrame) -> DataFrame:
+    """Per model: length of its shortest post period, and the default window, the first half of it (at least one month)."""
+    reach = units.groupBy("model").agg(F.min("T0").alias("t0")).join(meta, "model").select("model", (F.col("T") - F.col("t0")).alias("post"))
+    half = F.greatest(F.floor(F.col("post") / 2), F.lit(1)).cast("int")
+    return reach.select("model", "post", F.lit(1).alias("first"), half.alias("last"))
+
+
+def models_with_window(window: KeyWindow, units: DataFrame, meta: DataFrame) -> DataFrame:
+    """The models whose every treated unit has the whole window after its start; an error if there is none.
+
+    A model with too short a post period is left out by itself and does not keep the others from their table.
+    """
+    able = model_windows(units, meta).filter(F.col("post") >= window.last).select("model")
+    if able.isEmpty():
         raise ValueError("key times reach past the post period")
+    return able
 
 
 def default_window(units: DataFrame, meta: DataFrame) -> KeyWindow:
     """First half of the shortest post period among the models (at least one month)."""
-    reach = units.groupBy("model").agg(F.min("T0").alias("t0")).join(meta, "model")
-    post = reach.agg(F.min(F.col("T") - F.col("t0")).alias("p")).first()["p"]
-    return KeyWindow.of(range(1, max((post or 0) // 2, 1) + 1))
+    last = model_windows(units, meta).agg(F.min("last")).first()[0]
+    return KeyWindow.of(range(1, (last or 1) + 1))
 
 
 def model_frame(units: DataFrame, meta: DataFrame) -> DataFrame:
@@ -348,7 +361,7 @@ def inference_table(
     small.
 
     Keyed by ``model``, ``level`` and ``period``; :func:`published_layout` gives
-    the 22-column form.
+    the 22-column form.  A model whose post period is shorter than the key times has no rows.
     """
     z_value(alpha)
     units, meta = fit["fit_units"], fit["fit_meta"]
@@ -356,7 +369,9 @@ def inference_table(
         window = default_window(units, meta)
     else:
         window = KeyWindow.of(key_times)
-        check_key_window(window, units, meta)
+        able = models_with_window(window, units, meta)
+        fit = {name: df.join(able, "model", "left_semi") for name, df in fit.items()}
+        units, boot = fit["fit_units"], boot.join(able, "model", "left_semi")
     cells = stage(with_weights(stagger(fit["fit_cells"], units), weights), "staggered_cells")
     draws = stagger_draws(boot, cells)
     keys = ["level", "model", "period", "unit", "event_time"]

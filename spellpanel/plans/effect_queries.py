@@ -231,12 +231,15 @@ def i10(spark, sf):
     return _table(spark, sf)
 
 
-@query("i11_key_window_check")
+@query(
+    "i11_key_window_check",
+    """SELECT m.model, T - min_t0 AS post, 1 AS first, CAST(greatest((T - min_t0) // 2, 1) AS INT) AS last, T - min_t0 >= 6 AS fits
+FROM meta m JOIN (SELECT model, min(T0) AS min_t0 FROM units GROUP BY model) t ON m.model = t.model""",
+)
 def i11(spark, sf):
     _, fit = chain.fit(spark, sf)
-    I.check_key_window(WINDOW, fit["fit_units"], fit["fit_meta"])
-    default = I.default_window(fit["fit_units"], fit["fit_meta"])
-    return fit["fit_meta"].select("model", F.lit(default.first).alias("first"), F.lit(default.last).alias("last"))
+    windows = I.model_windows(fit["fit_units"], fit["fit_meta"])
+    return windows.withColumn("fits", F.col("post") >= WINDOW.last)
 
 
 # --------------------------------------------------------------------- series

@@ -19,7 +19,7 @@ def quoted(values) -> str:
 
 def rnd(expr: str, name: str) -> str:
     """Rounded double without a negative zero."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
+    return f"round(round(CAST({expr} AS DOUBLE), 9), 6) + CAST(0 AS DOUBLE) AS {name}"
 
 
 def _pick(index: str, values) -> str:
@@ -415,7 +415,7 @@ SELECT c.*, s.treated, s.T0 FROM complete c
 JOIN unit_states s ON c.model = s.model AND c.unit = s.unit WHERE s.status = 'kept'""",
     "units": "SELECT DISTINCT model, unit, CAST(T0 AS INT) AS T0 FROM eligible WHERE treated = 1",
     "sizes": """
-SELECT model, CAST(count(DISTINCT time) AS INT) AS T, CAST(count(DISTINCT unit) AS INT) AS N,
+SELECT model, CAST(max(time) AS INT) AS T, CAST(count(DISTINCT unit) AS INT) AS N,
   CAST(count(DISTINCT unit) FILTER (WHERE treated = 1) AS INT) AS Ntr FROM eligible GROUP BY model""",
     # unit and time effects of the controls by taking out unit and time means in turn until nothing is left
     "alternating": """
@@ -491,7 +491,8 @@ SELECT s.model, s.unit, s.time, s.event_time, s.period, b.draw,
 FROM staggered s CROSS JOIN (SELECT unnest(range(1, 21)) AS draw) b""",
     "frame": """
 SELECT m.*, min_t0, max_t0, CASE WHEN min_t0 = max_t0 THEN 'old_hub' ELSE 'new_hub' END AS comparator
-FROM meta m JOIN (SELECT model, min(T0) AS min_t0, max(T0) AS max_t0 FROM units GROUP BY model) t ON m.model = t.model""",
+FROM meta m JOIN (SELECT model, min(T0) AS min_t0, max(T0) AS max_t0 FROM units GROUP BY model) t ON m.model = t.model
+WHERE T - min_t0 >= 6""",
     "observed": """
 SELECT k.model, k.event_time, count(*) FILTER (WHERE f.T - u.T0 >= k.event_time) AS n_observed
 FROM (SELECT DISTINCT model, event_time FROM staggered WHERE event_time > 0) k
@@ -550,9 +551,9 @@ UNION ALL BY NAME SELECT * FROM lvl_unit UNION ALL BY NAME SELECT * FROM lvl_uni
     "inference": """
 SELECT *, att_mean - z * att_se AS att_lower, att_mean + z * att_se AS att_upper,
   out_ct - z * out_ct_se AS out_ct_lower, out_ct + z * out_ct_se AS out_ct_upper,
-  100 * att_mean / nullif(out_ct, 0) AS delta_mean,
-  100 * (att_mean - z * att_se) / nullif(out_ct, 0) AS delta_lower,
-  100 * (att_mean + z * att_se) / nullif(out_ct, 0) AS delta_upper,
+  100 * att_mean / (CASE WHEN abs(out_ct) >= 1e-5 THEN out_ct END) AS delta_mean,
+  100 * (att_mean - z * att_se) / (CASE WHEN abs(out_ct) >= 1e-5 THEN out_ct END) AS delta_lower,
+  100 * (att_mean + z * att_se) / (CASE WHEN abs(out_ct) >= 1e-5 THEN out_ct END) AS delta_upper,
   ((((1.061405429::DOUBLE * t + -1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t + -0.284496736::DOUBLE) * t
     + 0.254829592::DOUBLE) * t * exp(-x * x) AS pval
 FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * x) AS t FROM (
