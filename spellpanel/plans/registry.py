@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, first to some more, so that summation order cannot show, not even at a half."""
     return df.select(
-        *[F.round(F.round(F.col(f"`{n}`"), digits + 3), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes]
+        *[F.round(F.round(F.col(f"`{n}`"), digits + 2), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes]
     )
 
 

@@ -19,7 +19,7 @@ def quoted(values) -> str:
 
 def rnd(expr: str, name: str) -> str:
     """Rounded double without a negative zero."""
-    return f"round(round(CAST({expr} AS DOUBLE), 9), 6) + CAST(0 AS DOUBLE) AS {name}"
+    return f"round(round(CAST({expr} AS DOUBLE), 8), 6) + CAST(0 AS DOUBLE) AS {name}"
 
 
 def _pick(index: str, values) -> str:
