@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spellpanel.llm.arrays import mixed
 from spellpanel.llm.common import lookup
 from spellpanel.session import stage
 
@@ -23,12 +26,10 @@ LONG, CUT_BITS = 16, 2
 #: Words from which one unit is a run by itself.
 SINGLE = 50
 _LAST_ID = 9223372036854775807
-#: What tells a document: its id, a hash of its text and, for rows without an id, a number.
-OWN = ("own", "key", "copy")
-
-
-def _digest(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+#: What tells a document: its id and a hash of its text and, for rows without an id, of a number too.
+OWN = ("own", "key")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_digest = xxhash.xxh3_64_intdigest
 
 
 def _units(text: str, start: int, end: int) -> Iterator[int]:
@@ -64,32 +65,37 @@ def segments(text: str) -> list[tuple[int, int, str, int, bool]]:
     return found
 
 
-def sentence_runs(text: str | None, sentences: int, words: int) -> list[tuple[int, int, int]]:
-    """Hash, first unit and length of the run that starts at each unit (see ``segments``).
+def sentence_runs(parts: list[list[tuple]], sentences: int, words: int) -> tuple[np.ndarray, ...]:
+    """Runs that start at the units of many texts (see ``segments``): text, hash, first unit and length of each.
 
     A run is the shortest one with the ends of ``sentences`` sentences, or with two units and ``words``
     words, or one unit of ``SINGLE`` words.  It depends on nothing before its start, so equal passages give equal runs wherever they stand.
     """
-    parts = segments(text or "")
-    found = []
-    for i in range(len(parts)):
-        total = ends = 0
-        for k in range(i, len(parts)):
-            total += parts[k][3]
-            ends += parts[k][4]
-            n = k - i + 1
-            if ends == sentences or (n >= 2 and total >= words) or total >= SINGLE:
-                run = "\n".join(p[2] for p in parts[i : k + 1])
-                found.append((xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass")) - (1 << 63), i, n))
-                break
-    return found
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    units = list(chain.from_iterable(parts))
+    own = np.fromiter((_digest(u[2]) for u in units), np.uint64, len(units))
+    total = np.cumsum([0, *(u[3] for u in units)])
+    ends = np.cumsum([0, *(u[4] for u in units)])
+    text = np.repeat(np.arange(len(parts)), sizes)
+    at = np.arange(len(units))
+    last = np.minimum(np.searchsorted(ends, ends[:-1] + sentences), np.searchsorted(total, total[:-1] + SINGLE)) - 1
+    last = np.minimum(last, np.maximum(np.searchsorted(total, total[:-1] + words) - 1, at + 1))
+    start = np.cumsum(sizes) - sizes
+    whole = np.flatnonzero(last < (start + sizes)[text])
+    n = (last - at + 1)[whole]
+    hashed = np.zeros(len(whole), dtype=np.uint64)
+    for k in range(int(n.max(initial=0))):  # a run has at most ``words`` units, each with a word
+        more = np.flatnonzero(n > k)
+        hashed[more] = mixed(hashed[more] * _STEP + own[whole[more] + k])
+    return text[whole], hashed.view(np.int64), whole - start[text[whole]], n
 
 
 def sentence_dedup(docs: DataFrame, sentences: int = 3, words: int = 20) -> DataFrame:
     """Every document without the sentences that a repeated run covers, unless the run is its first.
 
-    Runs of consecutive sentences (see ``sentence_runs``) are hashed over whole texts and met
-    in one global aggregate, which finds the first occurrence by id and position; all other
+    Runs of consecutive sentences (see ``sentence_runs``) are hashed over whole texts and counted
+    in one global aggregate of hashes alone; only places of repeated hashes travel further, and their first
+    occurrence by id and position stays, while all other
     occurrences lose the sentences they cover.  The most frequent runs are joined back without
     a shuffle, so a passage that a third of all documents hold makes no hot task.  Long sentences are
     cut into units that count as sentences here, so texts without sentence marks and passages that start
@@ -99,52 +105,59 @@ def sentence_dedup(docs: DataFrame, sentences: int = 3, words: int = 20) -> Data
     text stays null, with no sentences; blank text stays as it is.  Rows with the same id and text are
     one document at one place: they are not removed against each other, and each loses what
     the other does.  Rows with the same id and other texts are documents each, and so is every row
-    without an id; these come last, in the order of a hash of their text.  An empty table gives no rows.
+    without an id; these come last, in the order of a hash.  An empty table gives no rows.
     Other columns are ignored.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sentence_runs(t, sentences, words) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            parts = [segments(t or "") for t in texts]
+            text, hashed, at, n = sentence_runs(parts, sentences, words)
+            offsets = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
             yield pa.record_batch({
-                **{c: batch.column(c) for c in OWN},
-                "h": pa.array([[r[0] for r in f] for f in found], pa.list_(pa.int64())),
-                "at": pa.array([[r[1] for r in f] for f in found], pa.list_(pa.int32())),
-                "n": pa.array([[r[2] for r in f] for f in found], pa.list_(pa.int32())),
+                **{c: batch.column(c) for c in OWN}, "total": pa.array([len(p) for p in parts], pa.int64()),
+                "h": pa.ListArray.from_arrays(offsets, pa.array(hashed)),
+                "at": pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())),
+                "n": pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())),
             })
 
     every = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # rows without an id are numbered, and written so that a number is given once
     unnamed = stage(every.filter("doc_id is null").withColumn("copy", F.monotonically_increasing_id()), "sentence-unnamed")
-    rows = every.filter("doc_id is not null").withColumn("copy", F.lit(0).cast("long")).unionByName(unnamed).select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("own"), F.xxhash64("text").alias("key"), "copy")
+    rows = every.filter("doc_id is not null").select("*", F.xxhash64("text").alias("key")).unionByName(
+        unnamed.select("doc_id", "text", F.xxhash64("text", "copy").alias("key"))).select(
+        "doc_id", "text", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("own"), "key")
     scanned = stage(rows.select(*OWN, "text").mapInArrow(
-        scan, "own long, key long, copy long, h array<long>, at array<int>, n array<int>"), "sentence-runs")
-    runs = scanned.select(*OWN, F.explode(F.arrays_zip("h", "at", "n")).alias("r")).select(*OWN, "r.h", "r.at", "r.n")
-    repeated = runs.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct(*OWN, "at")).alias("first")).filter(
-        "times > 1")
-    later = lookup(runs, repeated, "h", "times").filter(F.struct(*OWN, "at") != F.col("first")).select(*OWN, "at", "n")
-    gone = later.distinct().groupBy(*OWN).agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # bounded by the text
+        scan, "own long, key long, total long, h array<long>, at array<int>, n array<int>"), "sentence-runs")
+    repeated = stage(scanned.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("times"))
+                     .filter("times > 1"), "sentence-repeated")
+    runs = scanned.select(*OWN, F.explode(F.arrays_zip("h", "at", "n")).alias("r")).select(
+        *OWN, "r.h", F.shiftleft(F.col("r.at").cast("long"), 20).bitwiseOR(F.col("r.n")).alias("place"))
+    places = stage(lookup(runs, repeated, "h", "times"), "sentence-places")
+    first = places.groupBy("h").agg(F.count("*").alias("w"), F.min(F.struct(*OWN, "place")).alias("first"))
+    later = lookup(places.drop("times"), first, "h", "w").filter(F.struct(*OWN, "place") != F.col("first"))
+    covered = later.groupBy(*OWN).agg(F.collect_set("place").alias("places"))  # bounded by the text
+    counts = scanned.select(*OWN, "total").dropDuplicates(list(OWN))
+    gone = counts.join(covered, list(OWN), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals, removed, counts, texts = [], [], [], []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                parts = segments(text or "")
-                out = {i for r in hits or () for i in range(r["at"], r["at"] + r["n"]) if i < len(parts)}
-                totals.append(len(parts))
+            removed, counts, texts = [], [], []
+            for text, hits in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                out = {i for p in hits or () for i in range(p >> 20, (p >> 20) + (p & 0xFFFFF))}
                 removed.append(len(out))
                 counts.append(len(hits or ()))
                 if out:
                     keep, at = [], 0
-                    for i, (a, b, *_) in enumerate(parts):
+                    for i, (a, b, *_) in enumerate(segments(text)):
                         keep.append(text[at:a] if i in out else text[at:b])
                         at = b
                     text = "".join(keep) + text[at:]
                 texts.append(text)
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_sentences": pa.array(totals, pa.int64()),
+                "doc_id": batch.column("doc_id"), "n_sentences": batch.column("total"),
                 "n_removed": pa.array(removed, pa.int64()), "n_runs": pa.array(counts, pa.int64()),
                 "text": pa.array(texts, pa.string())})
 
-    return rows.join(gone, list(OWN), "left").select("doc_id", "text", "runs").mapInArrow(
+    return rows.join(gone, list(OWN)).select("doc_id", "text", "total", "places").mapInArrow(
         cut, "doc_id long, n_sentences long, n_removed long, n_runs long, text string")
