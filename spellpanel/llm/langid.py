@@ -34,10 +34,8 @@ def _is_letter() -> np.ndarray:
 
 
 def has_letter(points: np.ndarray) -> bool:
-    low = points[points < _TABLE]
-    if _is_letter()[low].any():
-        return True
-    return any(unicodedata.category(chr(c))[0] == "L" for c in np.unique(points[points >= _TABLE]))
+    """Whether a letter is among the code points; a combining mark, digit or sign by itself is none."""
+    return any(unicodedata.category(chr(c))[0] == "L" for c in np.unique(points))
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:

@@ -117,6 +117,24 @@ def test_sentence_runs(spark):
     assert sorted(r["n_removed"] for r in again if r["doc_id"] in (1, 2)) == [0, 0, 3, 3]
 
 
+def test_runs_equal_a_plain_loop():
+    """Runs of many texts at once are those that a loop over each text's units finds; equal units give equal hashes."""
+    texts = [" ".join(words(90, 50)), "A b. C d! E f? G h.", "", "One two.\n" * 9, "x " * 200, " ".join(words(7, 51)) + ". " + " ".join(words(60, 52))]
+    parts = [sentences.segments(t) for t in texts]
+    want = []
+    for t, units in enumerate(parts):
+        for i in range(len(units)):
+            for k in range(i, len(units)):
+                run = units[i : k + 1]
+                n_words = sum(len(u[2].split()) for u in run)
+                if sum(u[4] for u in run) == 3 or (len(run) > 1 and n_words >= 20) or n_words >= sentences.SINGLE:
+                    want.append((t, i, len(run), tuple(u[2] for u in run)))
+                    break
+    text, hashed, at, n = (x.tolist() for x in sentences.sentence_runs(parts, 3, 20))
+    assert list(zip(text, at, n)) == [w[:3] for w in want]
+    assert len(set(hashed)) == len({w[3] for w in want}) == len(set(zip(hashed, (w[3] for w in want))))
+
+
 def test_passages_without_sentence_ends(spark):
     """Copies of one sentence, passages that start and end inside a sentence, and other sentence marks."""
     one, inner = " ".join(words(70, 31)), " ".join(words(60, 32))

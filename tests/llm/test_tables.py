@@ -197,6 +197,18 @@ def test_leaks(spark, small):
     assert decontaminate.contaminated(every, items.limit(0)).count() == 0
 
 
+def test_word_weights_do_not_follow_the_tasks(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    one, many = (decontaminate.word_weights(docs.repartition(k)) for k in (1, 7))
+    assert one[1] == many[1] and (one[0] == many[0]).all()
+    copies = decontaminate.word_weights(docs.union(docs).repartition(5))
+    assert (copies[0] == one[0]).all() and copies[1] == 2 * one[1]
+
+
+def test_marks_alone_are_no_letters():
+    assert langid.grams(["\u0301\u0301 12", "e\u0301", "\u5929", "\u3002", None])[2] == [False, True, True, False, False]
+
+
 def test_leaks_without_id(spark, small):
     """A row without an id, or of an id that another text has too, is judged by its own text."""
     items = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").limit(2)
