@@ -55,40 +55,48 @@ def runs(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, mixed(least[first]).view(np.int64), np.array(times)
 
 
+def _hashed(text: bytes, first: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the bytes of each run."""
+    ends = np.append(first[1:], len(text) - window + 1) + (window - 1)
+    return np.array([xxhash.xxh3_64_intdigest(text[a:b]) - (1 << 63) for a, b in zip(first.tolist(), ends.tolist(), strict=True)],
+                    dtype=np.int64) if len(first) else first
+
+
 def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """rid, key, n_bytes and the runs of each row."""
+    """rid, key, number of window starts and the runs of each row, told by ``ph``, the hash of a run's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [runs(t or b"", window) for t in batch.column("text").to_pylist()]
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            found = [runs(t, window) for t in texts]
             yield pa.record_batch({
                 "rid": batch.column("rid"), "key": batch.column("key"),
+                "starts": pa.array([max(0, len(t) - window + 1) for t in texts], pa.int32()),
+                "ph": pa.array([_hashed(t, f[0], window) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int64())),
                 "first": pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
                 "least": pa.array([f[1] for f in found], pa.list_(pa.int64())),
                 "times": pa.array([f[2].astype(np.int32) for f in found], pa.list_(pa.int32())),
             })
 
     return docs.select("rid", "key", "text").mapInArrow(
-        run, "rid string, key binary, first array<int>, least array<long>, times array<int>")
+        run, "rid string, key binary, starts int, ph array<long>, first array<int>, least array<long>, times array<int>")
 
 
 def _payloads(texts: DataFrame, window: int) -> DataFrame:
-    """One row a run to be compared: least, ph (hash of its bytes), bytes, key, first start."""
+    """The bytes of the places of each text: least, ph, bytes, copies, hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, places in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(),
-                                         batch.column("places").to_pylist(), strict=True):
-                cut = [(p["least"], p["first"], text[p["first"] : p["last"] + window]) for p in places]
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 yield pa.record_batch({
-                    "least": pa.array([c[0] for c in cut], pa.int64()),
-                    "ph": pa.array([xxhash.xxh3_64_intdigest(c[2]) - (1 << 63) for c in cut], pa.int64()),
-                    "bytes": pa.array([c[2] for c in cut], pa.binary()),
-                    "key": pa.array([key] * len(cut), pa.binary()),
-                    "first": pa.array([c[1] for c in cut], pa.int32()),
+                    "least": pa.array([p["least"] for p in places], pa.int64()),
+                    "ph": pa.array([p["ph"] for p in places], pa.int64()),
+                    "bytes": pa.array([text[p["first"] : p["last"] + window] for p in places], pa.binary()),
+                    "copies": pa.array([p["copies"] for p in places], pa.int64()),
+                    "hot": pa.array([p["hot"] for p in places], pa.bool_()),
                 })
 
-    return texts.mapInArrow(run, "least long, ph long, bytes binary, key binary, first int")
+    return texts.mapInArrow(run, "least long, ph long, bytes binary, copies long, hot boolean")
 
 
 def repeated_starts(contents: list[bytes], copies: np.ndarray, window: int) -> list[np.ndarray]:
@@ -163,7 +171,8 @@ def _window_hashes(groups: DataFrame, window: int) -> DataFrame:
         partners.select("h", F.lit(1).alias("one"))).groupBy("h").agg(F.sum("one").alias("n")).filter("n > 1")
     hits = lookup(windows, counts, "h", "n").groupBy("least", "ph").agg(F.sort_array(F.collect_list("at")).alias("at"))
     spans = F.flatten(F.transform("at", lambda a: F.array(a, a)))
-    whole = groups.filter("copies > 1").select("least", "ph", F.array(F.lit(0), F.col("starts") - 1).alias("spans"))
+    whole = groups.filter("copies > 1").select(
+        "least", "ph", F.array(F.lit(0), F.octet_length("bytes") - window).alias("spans"))
     return hits.select("least", "ph", spans.alias("spans")).unionByName(whole)
 
 
@@ -200,8 +209,9 @@ def repeated_substrings(docs: DataFrame, window: int = 400) -> DataFrame:
        long enough.
     2. Each window start belongs to the least hash of the ``GRAM``-byte strings in its window.
        Starts in a row with the same least hash are one run, and only runs whose hash occurs
-       again can hold a repeated window.  Runs with equal bytes are merged and counted.
-    3. Runs are dealt out by that hash, so equal windows meet in one shard.  Each shard's runs
+       again can hold a repeated window.  Runs with equal bytes are merged and counted by their
+       hashes; a run alone under its hash with several copies is settled, and no byte of it is moved.
+    3. The bytes of the others, once each, are dealt out by that hash, so equal windows meet in one shard.  Each shard's runs
        get a suffix array by induced sorting and its permuted common prefixes; a start is
        repeated if it shares ``window`` bytes with a neighbour in the order.
     4. A hash with more than ``HOT_BYTES`` of different runs (say, a passage in a third of all
@@ -223,38 +233,35 @@ def repeated_substrings(docs: DataFrame, window: int = 400) -> DataFrame:
     scanned = stage(_scan(rows, window), "substrings-runs")
     classes = stage(slim.groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "substrings-classes")
     # one row for each different text
-    own = scanned.join(classes.select("rid", "key", "copies"), ["rid", "key"]).dropDuplicates(["rid", "key"])
-    after = F.transform("first", lambda x, i: F.get(F.col("first"), i + 1))
-    each = own.select("rid", "key", "copies", F.explode(F.arrays_zip(
-        "first", "least", "times", after.alias("next"))).alias("r")).select(
-        "rid", "key", "copies", "r.first", "r.least", "r.times", "r.next")
+    own = scanned.join(classes.select("rid", "key"), ["rid", "key"]).dropDuplicates(["rid", "key"])
+    last = F.transform("first", lambda x, i: F.coalesce(F.get(F.col("first"), i + 1), F.col("starts")) - 1)
+    each = own.select("rid", "key", F.explode(F.arrays_zip("first", last.alias("last"), "least", "ph", "times")).alias("r")).select(
+        "rid", "key", "r.*")
     counts = each.groupBy("least").agg(F.sum("times").alias("n")).filter("n > 1")
-    # the last run of a text is open: its end is the last start of the text
-    ends = slim.select("rid", "key", "n_bytes").dropDuplicates(["rid", "key"])
-    wanted = lookup(each, counts, "least", "n").join(ends, ["rid", "key"]).select(
-        "rid", "key", F.struct("least", "first", (F.coalesce(F.col("next"), F.col("n_bytes") - window + 1) - 1)
-                               .cast("int").alias("last")).alias("place"))
-    places = wanted.groupBy("rid", "key").agg(F.collect_list("place").alias("places"))  # bounded by the text
-    texts = stage(rows.select("rid", "key", "text").join(places, ["rid", "key"]).dropDuplicates(["rid", "key"])
-                  .select("rid", "key", "text", "places"), "substrings-texts")
-    pieces = stage(_payloads(texts.select("key", "text", "places"), window), "substrings-pieces")
+    places = stage(lookup(each.drop("times"), counts, "least", "n").drop("n"), "substrings-places")
     merged = stage(
-        pieces.groupBy("least", "ph").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
-        .withColumn("starts", F.octet_length("bytes") - window + 1), "substrings-merged")
-    groups = merged.groupBy("least").agg(F.count("*").alias("different"), F.sum(F.octet_length("bytes")).alias("size"))
+        places.groupBy("least", "ph").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "key", "first", "last")).alias("one"))
+        .select("least", "ph", "copies", "one.*").withColumn("starts", F.col("last") - F.col("first") + 1), "substrings-merged")
+    groups = merged.groupBy("least").agg(
+        F.count("*").alias("different"), F.sum(F.col("starts") + window - 1).alias("size"))
     # a run alone under its hash, with copies, is repeated as it stands; without copies only against itself
     sized = lookup(merged, groups, "least", "different")
     settled = (F.col("different") == 1) & (F.col("copies") > 1)
-    hot = ~settled & (F.col("size") > HOT_BYTES) & (F.col("different") > 1)
+    hot = (F.col("size") > HOT_BYTES) & (F.col("different") > 1)
+    asked = sized.filter(~settled).groupBy("rid", "key").agg(F.collect_list(
+        F.struct("least", "ph", "first", "last", "copies", hot.alias("hot"))).alias("places"))  # bounded by the text
+    texts = rows.select("rid", "key", "text")
+    compared = stage(_payloads(texts.join(asked, ["rid", "key"]).dropDuplicates(["rid", "key"]).select("text", "places"), window),
+                     "substrings-compared")
     spans = stage(
         sized.filter(settled).select("least", "ph", F.array(F.lit(0), F.col("starts") - 1).alias("spans"))
-        .unionByName(_shard_arrays(sized.filter(~settled & ~hot), window))
-        .unionByName(_window_hashes(sized.filter(hot), window)), "substrings-spans")
-    weighed = spans.join(merged.select("least", "ph", "copies"), ["least", "ph"]).withColumn(
-        "run", F.xxhash64("least", "ph")).select("run", "spans", "copies")
-    parts = lookup(pieces.select("key", "first", F.xxhash64("least", "ph").alias("run")), weighed, "run", "copies").groupBy(
-        "key").agg(F.collect_list(F.struct("first", "spans")).alias("parts"))  # bounded by the text
-    cut = _cut(texts.join(parts, "key").select("key", "text", "parts"), window)
+        .unionByName(_shard_arrays(compared.filter("not hot"), window))
+        .unionByName(_window_hashes(compared.filter("hot"), window)), "substrings-spans")
+    run = F.struct("least", "ph").alias("run")
+    weighed = spans.join(merged.select("least", "ph", "copies"), ["least", "ph"]).select(run, "spans", "copies")
+    parts = lookup(places.select("rid", "key", "first", run), weighed, "run", "copies").groupBy("rid", "key").agg(
+        F.collect_list(F.struct("first", "spans")).alias("parts"))  # bounded by the text
+    cut = _cut(texts.join(parts, ["rid", "key"]).dropDuplicates(["rid", "key"]).select("key", "text", "parts"), window)
     by_text = stage(classes.join(cut, "key", "left").filter("copies > 1 or n_removed > 0").select(
         "key", "copies", "n_removed", "spans", "left_sha256"), "substrings-cut")
     joined = lookup(slim, by_text, "key", "copies", "left")
