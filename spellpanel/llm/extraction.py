@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spellpanel.llm.common import lookup
-from spellpanel.llm.markup import article_print, is_container, own_container, preference, read_page, slot_text, weigh
+from spellpanel.llm.markup import NEARLY, article_print, is_container, own_container, preference, read_page, slot_text, weigh
 from spellpanel.session import stage
 
 #: Share of a host's pages that hold a class of tokens, and pages at least, for it to be template.
@@ -80,7 +80,8 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     Tokens with the same occurrence vector over a host's pages, told by a sum of hashes of page and
     count, form an equivalence class.  A class is valid if it has several tokens, is on enough
     pages, and its tokens come in the same order on all of them.  Classes are not
-    nested into one template; the one slot taken is the container that holds nearly all text of the host's pages.
+    nested into one template; the one slot taken is the article or main element that holds nearly all text of the host's
+    pages, the one with most text before the deepest; a host without one leaves the choice to each page.
 
     ``tokens`` has each article of a host once (``distinct_pages``).  Where the text in common is more
     than ``COPIED`` of the host's article text, the pages are near copies and none of it is template.
@@ -105,8 +106,8 @@ def host_templates(tokens: DataFrame) -> DataFrame:
     template = named.join(valid, "class", "left_semi")
     most = F.max(F.when(F.col("kind") > 0, F.col("mass")))
     sized = template.join(template.groupBy("host").agg(most.alias("most")), "host")
-    slot = F.max(F.when((F.col("kind") > 0) & (F.col("most") > 0) & (F.col("mass") >= 0.9 * F.col("most")),
-                        F.struct("kind", "depth", "mass", "token")))
+    slot = F.max(F.when((F.col("kind") > 1) & (F.col("most") > 0) & (F.col("mass") >= NEARLY * F.col("most")),
+                        F.struct("mass", "depth", "kind", "token")))
     shared = ((F.col("kind") == -1) & (F.col("held") >= TEXT_PAGES) & (F.col("held") >= TEXT_SUPPORT * F.col("pages")))
     fixed = F.when(F.coalesce(F.sum(F.when(shared, F.col("mass"))), F.lit(0)) <= COPIED * F.max("chars"),
                    F.collect_list(F.when(shared, F.col("token"))))
@@ -117,10 +118,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars, by_template.
 
     The template of the page's host (``host_templates``) names the container of the article and the
-    text that belongs to the template.  A page without that container, or a host with too few
-    pages, falls back to the page's own heaviest container by the same rule.  Menus, headers, footers,
-    sidebars, notices, adverts, forms, comments, scripts and styles inside are left out by element
-    and role.  Character references are decoded, white space in a block becomes one blank, blocks
+    text that belongs to the template.  Where it names none, or the page lacks it, the page's own smallest container
+    with all of its article text is taken.  Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
+    and styles inside are left out by element and by names that consist of aside and layout words only
+    (``site-header``, not ``article-header``; a header inside an article is part of it).  Character references are decoded, white space in a block becomes one blank, blocks
     are joined by an empty line.
 
     Null or empty html gives an empty text.  A null url is a host of its own.  Repeated rows are pages
@@ -146,7 +147,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                     weigh(page, fixed)
                     container = own_container(page)
                 texts.append(slot_text(page, container, fixed))
-                used.append(known)
+                used.append(known or bool(fixed))
             yield pa.record_batch({
                 "page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()),
                 "n_chars": pa.array([len(t) for t in texts], pa.int64()), "by_template": pa.array(used, pa.bool_())})

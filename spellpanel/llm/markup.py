@@ -10,11 +10,14 @@ import xxhash
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|math|object|canvas)\b[^>]*>"
-    r".*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*>|<[!?][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
+#: Elements whose content is no text of the page, and those of them that run to the end of the page if never closed.
+_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas"}
+_RAW_TO_END = {"script", "style", "textarea"}
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in sorted(_RAW)}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset",
@@ -35,7 +38,18 @@ _ASIDE_WORDS = set("""
     nav navbar navigation newsletter notice notices outbrain pager pagination popup promo recommend recommended related
     respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar widget
 """.split())
+#: Words that say where or in what form something stands, so that they leave an aside word its meaning.
+_LAYOUT_WORDS = set("""
+    area bar block bottom box btn button buttons col column container fixed form icon icons inner item items left link links
+    list main page panel right row section site slot sticky top widget wrap wrapper
+""".split())
+#: Aside words that name a part of an article when they stand inside one.
+_ARTICLE_PARTS = {"header", "masthead"}
+_ASIDE_ARTICLES = {"ad", "comment", "comments", "promo", "related"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _WHOLE = {"article", "main", "section", "div", "td", "body"}
+#: Share of a page's article text from which an article or main element is its container.
+NEARLY = 0.9
 
 
 @dataclass
@@ -62,10 +76,48 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Class, id and role of a tag, in lower case; the first of a name holds."""
+    found: dict[str, str] = {}
+    for a in _ATTR.finditer(source):
+        name = a.group(1).lower()
+        if name in ("class", "id", "role"):
+            found.setdefault(name, (a.group(2) or a.group(3) or a.group(4) or "").lower())
+    return found
+
+
+def aside_words(marks: dict[str, str]) -> set[str]:
+    """Aside words of the marks: only names made of nothing but aside and layout words count."""
+    found: set[str] = set()
+    for name in " ".join(marks.values()).split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words <= _ASIDE_WORDS | _LAYOUT_WORDS:
+            found |= words & _ASIDE_WORDS
+    return found
+
+
+def is_aside(name: str, up: Element, words: set[str]) -> bool:
+    """Whether an element below ``up`` holds something else than the article."""
+    if name in ("main", "body", "html"):
+        return up.aside and name != "main"  # an element before the main part was never closed
+    if up.aside or name in _ASIDE_TAGS:
+        return True
+    if name == "article":
+        return bool(words & _ASIDE_ARTICLES)
+    if up.article:
+        return bool(words - _ARTICLE_PARTS)
+    return name == "header" or bool(words)
+
+
 def read_page(source: str) -> Page:
-    """Elements and texts in page order; unclosed and stray tags are taken as browsers take them."""
+    """Elements and texts in page order; unclosed and stray tags are taken as browsers take them.
+
+    Elements closed in their own tag are empty.  Elements without text of the page (``_RAW``) are left out up to
+    their end tag; without one, scripts, styles and text areas run to the end and of the others only the tag goes.
+    """
     page = Page([Element("#", -1, 0, False, False, False, 0, 0)])
     stack, block, at = [0], 0, 0
+    endless: set[str] = set()
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
@@ -83,18 +135,30 @@ def read_page(source: str) -> Page:
             if tag in apart:
                 return
 
-    for m in _TAG.finditer(source):
+    m = _TAG.search(source)
+    while m:
         text(source[at : m.start()])
         at = m.end()
         name = (m.group("name") or "").lower()
-        if not name:
+        tag, m = m, None
+        empty = bool(name) and not tag.group("end") and bool(_SELF_CLOSED.search(tag.group("attrs")))
+        if name in _RAW and not tag.group("end") and not (empty and name not in ("script", "style")) and name not in endless:
+            end = _RAW_END[name].search(source, at)
+            if end:
+                at = end.end()
+            elif name in _RAW_TO_END:
+                return page
+            else:
+                endless.add(name)  # no later tag of this kind has an end either
+        m = _TAG.search(source, at)
+        if not name or name in _RAW:
             continue
         if name in _BLOCK:
             block += 1
-        if m.group("end"):
+        if tag.group("end"):
             close({name}, set() if name != "p" else _SCOPE)
             continue
-        if name in _VOID:
+        if name in _VOID or empty:
             page.texts.append((stack[-1], " ", 0, block))
             continue
         if name in _CLOSES:
@@ -102,14 +166,9 @@ def read_page(source: str) -> Page:
         if name in _BLOCK:
             close({"p"}, _SCOPE)
         up = page.elements[stack[-1]]
-        marks = {}
-        for a in _ATTR.finditer(m.group("attrs") or ""):
-            marks[a.group(1).lower()] = (a.group(2) or a.group(3) or a.group(4) or "").lower()
-        words = set(re.split(r"[^a-z]+", " ".join(marks.values())))
+        marks = attributes(tag.group("attrs"))
         article = up.article or name in ("article", "main")
-        aside = (up.aside or name in _ASIDE_TAGS or (name == "header" and not up.article)
-                 or (bool(words & _ASIDE_WORDS) and name not in ("article", "main", "body", "html")
-                     ) or (name == "article" and bool(words & {"comment", "comments", "ad", "related", "promo"})))
+        aside = is_aside(name, up, aside_words(marks))
         shape = " ".join(f"{k}={re.sub('[0-9]+', '0', v)}" for k, v in sorted(marks.items()))
         page.elements.append(Element(name, stack[-1], _hash(up.path, name, shape), aside, article,
                                      up.link or name == "a", up.depth + 1, len(page.elements)))
@@ -144,11 +203,20 @@ def preference(tag: str) -> int:
 
 
 def own_container(page: Page) -> int | None:
-    """Path of the container of a page that no template speaks for."""
-    whole = [e for e in page.elements if e.tag in _WHOLE and not e.aside]
-    most = max((e.mass for e in whole), default=0)
-    near = [e for e in whole if e.mass >= 0.9 * most and most > 0]
-    return max(near, key=lambda e: (preference(e.tag), e.depth, -e.at)).path if near else None
+    """Path of the smallest container with all article text of the page.
+
+    An article or main element with nearly all of it goes first, the one with most text before the deepest.
+    """
+    mass: dict[int, int] = {}
+    for e in page.elements:
+        if is_container(e):
+            mass[e.path] = mass.get(e.path, 0) + e.mass
+    most = max(mass.values(), default=0)
+    if not most:
+        return None
+    rated = [(bool(preference(e.tag)) and mass[e.path] >= NEARLY * most, mass[e.path], e.depth, -e.at, e.path)
+             for e in page.elements if is_container(e)]
+    return max(rated)[4]
 
 
 def is_container(e: Element) -> bool:
@@ -158,7 +226,8 @@ def is_container(e: Element) -> bool:
 def slot_text(page: Page, container: int | None, constant: set[int]) -> str:
     """The blocks under the container, with white space made single blanks, joined by empty lines.
 
-    A block is template text only if all of it is.
+    A block is template text only if all of it is.  A heading inside an article is none: many
+    articles of a host may have a part of the same name.
     """
     inside = [False] * len(page.elements)
     for i, e in enumerate(page.elements):
@@ -168,7 +237,8 @@ def slot_text(page: Page, container: int | None, constant: set[int]) -> str:
     for own, words, mark, block in page.texts:
         if inside[own] and not page.elements[own].aside:
             blocks.setdefault(block, []).append(words)
-            if mark and mark not in constant:
+            e = page.elements[own]
+            if mark and (mark not in constant or (e.article and e.tag in _HEADINGS)):
                 own_text.add(block)
     found = (" ".join("".join(b).split()) for n, b in sorted(blocks.items()) if n in own_text)
     return "\n\n".join(b for b in found if b)

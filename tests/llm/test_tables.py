@@ -173,6 +173,43 @@ def test_pages_of_copies(spark):
             assert r["text"] == f"A long enough own text of page {(i - 60) * 7919}" and r["by_template"]
 
 
+#: Bodies of pages and the blocks of their article.
+KEPT = [
+    ("<article><h2 id='social-history'>Past</h2><section id='search-methods'><p>How we searched.</p></section></article>",
+     ["Past", "How we searched."]),
+    ("<article><div class='article-header'><h1>Title</h1></div><p data-id='social history'>Body.</p></article>", ["Title", "Body."]),
+    ("<article><div class='header'><h1>Title</h1></div><p>Body.</p><div class='share-buttons'>Tell all</div></article>",
+     ["Title", "Body."]),
+    ("<svg width='1'/><article><p>After a drawing.</p></article>", ["After a drawing."]),
+    ("<svg><text>drawn</text></svg><object><article><p>After an open object.</p></article>", ["After an open object."]),
+    ("<article><p>Let <math><mi>x</mi></math> be one.</p></article>", ["Let x be one."]),
+    ("<div><h1>Title.</h1><p>Lead.</p><div><p>" + "Body of some length. " * 20 + "</p></div></div>",
+     ["Title.", "Lead.", ("Body of some length. " * 20).strip()]),
+    ("<main><h1>Title</h1><article><p>" + "Body. " * 40 + "</p></article></main>", ["Title", ("Body. " * 40).strip()]),
+    ("<nav><ul><li>never closed<main><p>Main part.</p></main>", ["Main part."]),
+    ("<div class='ad'/><p>After an empty advert.</p>", ["After an empty advert."]),
+    ("<div class='site-header'>Name</div><div id='cookie-box'>We bake</div><p>Text.</p><div class='comment-list'>me too</div>",
+     ["Text."]),
+    ("<p>Before.</p><script>var a = '<p>no</p>'", ["Before."]),
+    ("<article><p>Post one.</p></article><article><p>Post two.</p></article><article class='comment'>me</article>",
+     ["Post one.", "Post two."]),
+]
+
+
+def test_pages_keep_their_article(spark):
+    """Alone on a host, and on a host of six pages of the same layout."""
+    rows = [(100 * k, f"http://h{k}/", f"<body>{body}</body>") for k, (body, _) in enumerate(KEPT)]
+    rows += [(100 * k + i, f"http://host{k}/{i}", f"<html><body>{body.replace('.', f' no{i * 31}.')}</body></html>")
+             for k, (body, _) in enumerate(KEPT) for i in range(1, 7)]
+    got = extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k, i = divmod(r["page_id"], 100)
+        want = "\n\n".join(KEPT[k][1])
+        assert r["text"] == (want.replace(".", f" no{i * 31}.") if i else want), r
+        assert r["n_chars"] == len(r["text"])
+
+
 def test_leaks(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text")
@@ -271,7 +308,7 @@ def test_leaks_recall(spark, small):
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline_against_its_parts(spark, small):
