@@ -18,6 +18,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 HOT_KEYS = 1000
 
 
+def packed(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The given columns and the whole input row as one struct, ``_row``, so that no column of it clashes with own ones."""
+    every = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(*columns, F.struct(*every).alias("_row"))
+
+
+def unpacked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The input rows of ``packed`` again, under their own names."""
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in names])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

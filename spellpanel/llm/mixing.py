@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spellpanel.llm.common import prefix_sums, word_count
+from spellpanel.llm.common import packed, prefix_sums, unpacked, word_count
 from spellpanel.session import stage
 
 
@@ -88,16 +88,15 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     """The documents of the mix, with their own columns: one row for each pass that takes words of it.
 
     The document at the cut is kept whole, so a source is over its target by less than one
-    document.  Documents without words are in no pass.
+    document.  Documents without words are in no pass.  All columns stay, whatever their names.
     """
     mix = mix_sources(docs.select("doc_id", "source", "text"), weights, share, epochs, seed)
     copies = mix.filter("taken > 0").groupBy("doc_id", "source", "size").agg(
         F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_copies"), F.count("*").alias("_rows"))
-    sized = docs.select("*", word_count(F.col("text")).alias("_size"))
+    sized = packed(docs, "doc_id", "source", word_count(F.col("text")).alias("_size"))
     keys = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_of_size"),
                          F.floor((F.col("_copies") + F.col("_rows") - 1) / F.col("_rows")).cast("int").alias("_times"))
     on = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_source")),
           F.col("_size") == F.col("_of_size")]
-    joined = sized.join(keys, on)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns],
-                         F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")).drop("_pass")
+    passes = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass")
+    return unpacked(sized.join(keys, on).select("_row", passes), docs.columns)

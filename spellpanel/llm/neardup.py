@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spellpanel.llm.arrays import chunks, mixed, shingles, word_hashes
-from spellpanel.llm.common import components, lookup
+from spellpanel.llm.common import components, lookup, packed, unpacked
 from spellpanel.session import stage
 
 #: Members of a bucket that meet one copy of its pivot's shingle set.
@@ -239,10 +239,11 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, rows: int =
     """One document of each component, with all columns: the one with the smallest id.
 
     Rows without an id take part under a hash of their text from the top of the ids, so that a document
-    with an id is kept before one without.
+    with an id is kept before one without.  All columns stay, whatever their names.
     """
     last = F.lit(9223372036854775807) - F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), last))
-    kept = near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), size, percent, rows, miss).filter(
+    own = F.coalesce(F.col("doc_id").cast("long"), last)
+    kept = near_duplicates(docs.select(own.alias("doc_id"), "text"), size, percent, rows, miss).filter(
         "kept").select(F.col("doc_id").alias("_id")).distinct()
-    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    keyed = packed(docs, own.alias("_id"))
+    return unpacked(keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]), docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spellpanel.llm.common import BLANKS, words_of
+from spellpanel.llm.common import BLANKS, packed, unpacked, words_of
 from spellpanel.session import stage
 
 SYMBOLS = "#*$%&|<>"
@@ -185,9 +185,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05,
                    confidence: float = 0.95) -> DataFrame:
-    """The documents that pass, with all their columns; the text is read once more, not shuffled for the rules."""
-    stats = with_statistics(docs.select("*", F.col(stratum).alias("_stratum")), *docs.columns, "_stratum")
-    slim = stage(stats.drop(*[c for c in docs.columns if c != "doc_id"]), "quality-statistics")
+    """The documents that pass, with all their columns, whatever their names; the text is read once more, not shuffled.
+
+    Nulls, repeated rows and empty tables are taken as in ``quality_rules``.
+    """
+    stats = with_statistics(packed(docs, "doc_id", F.col(stratum).alias("_stratum"), "text"), "doc_id", "_stratum", "_row")
+    slim = stage(stats.drop("_row"), "quality-statistics")
     cutoffs = stage(risk_controlled_cutoffs(slim, labels.select("doc_id", "quality"), "_stratum", risk, confidence),
                     "quality-cutoffs")
     wide = cutoffs.groupBy(F.col("stratum").alias("_of")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
@@ -197,4 +200,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ri
         hit = hit | F.coalesce(value[rule] > F.col(f"_cut.{rule}"), F.lit(False))
     cut = wide.select("_of", F.struct(*RULES).alias("_cut"))
     judged = stats.join(cut, F.col("_stratum").eqNullSafe(F.col("_of")), "left").filter(~F.col("base_failed") & ~hit)
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(judged, docs.columns)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spellpanel.llm import decontaminate, extraction, langid, mixing, quality, queries, sharding, tokens
+from spellpanel.llm import decontaminate, extraction, langid, mixing, neardup, quality, queries, sharding, tokens
 
 DOCS = "doc_id long, text string, lang string, source string"
 ODD = [(1, None, None, None), (2, "", "en", None), (None, "a b c", None, "s1"), (3, "a b c", "en", "s1"),
@@ -39,6 +39,24 @@ def test_odd_rows_and_empty_tables(spark):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, small):
+    """Own names of the operators, and names with dots and blanks, as extra columns."""
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "by_words",
+             "by_lines", "symbol_share", "kept", "_stratum", "_cut", "_of", "_row", "_size", "_id", "_source", "_of_size",
+             "_times", "_pass", "_key", "size", "key", "a.b", "two words", "back`tick"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    quoted = {n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names}
+    wide = docs.select("*", *[v.alias(n) for n, v in quoted.items()])
+    labels, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("labels", "benchmark"))
+    for run in (lambda d: quality.quality_filter(d, labels), neardup.deduplicated,
+                lambda d: decontaminate.decontaminated(d, items), mixing.mixed_documents):
+        out = run(wide)
+        assert out.columns == wide.columns
+        got = [r.asDict() for r in out.collect()]
+        assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in run(docs).collect()) and got
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in got for n in names)
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 3}") for i in range(300)]
     mix = mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()
