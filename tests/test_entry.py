@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from spellpanel.plans.registry import rounded
+from spellpanel.plans.sql import rnd
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 SAMPLE = [
@@ -44,3 +46,13 @@ def test_registry_is_complete():
 def test_flagship(spark):
     out = entry.entry(spark)
     assert out.columns[:3] == ["PROCODE3", "month", "n_activity"] and out.count() > 0
+
+
+def test_rounding_agrees_with_sql_at_halves(spark, db):
+    halves = [k / 1e8 for k in range(50, 3_000_000, 100)] + [0.0642005, -0.1261665, -0.0, 1e300, float("inf"), None]
+    df = spark.createDataFrame(list(enumerate(halves)), "k int, x double").repartition(8)
+    got = dict(rounded(df).collect())
+    for k, x in enumerate(halves):
+        assert got[k] == db.execute(f"SELECT {rnd('?', 'x')}", [x]).fetchone()[0], x
+    assert got[30_000] == 0.0642
+    assert str(rounded(df.filter("k = 30002")).first()["x"]) == "0.0" and got[30_001] == -0.126166
