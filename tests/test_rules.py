@@ -157,3 +157,8 @@ def test_code_text_helpers(spark):
     assert X.rename_measures(df).columns == ["elect_rate", "elect_los.ip_avg", "elect_los.dc_ratio", "hvlc_rate"]
     labels = spark.createDataFrame([(1.26,), (0.0,), (-3.04,)], "v double").select(X.signed_percent(F.col("v")).alias("l"))
     assert [r["l"] for r in labels.collect()] == ["+1.3%", "0.0%", "-3.0%"]
+
+
+def test_no_percent_label_without_a_value(spark):
+    labels = spark.createDataFrame([(1, None), (2, 0.04)], "k int, v double").select("k", X.signed_percent(F.col("v")).alias("l"))
+    assert dict(labels.collect()) == {1: None, 2: "+0.0%"}
