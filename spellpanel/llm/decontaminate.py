@@ -23,10 +23,8 @@ WINDOWS = (4, 6)
 FEATURES = 1 << 15
 #: Latent dimensions, and extra ones of the random projection.
 RANK, EXTRA = 64, 16
-#: Passages of the corpus, on average, that shape the latent space beside all benchmark passages.
-SAMPLE = 20_000
-#: Tasks the bounded sample is multiplied in, and features per block of a product.
-SAMPLE_TASKS, BLOCK = 8, 2048
+#: Tasks a core that multiply all passages, and features per block of a product.
+PRODUCT_TASKS, BLOCK = 2, 512
 #: Benchmark items sent to the tasks together; a larger benchmark goes in several blocks.
 ITEM_BLOCK = 5_000
 #: Share of the largest eigenvalue up to which another one is rounding noise.
@@ -77,7 +75,8 @@ def word_weights(docs: DataFrame) -> tuple[np.ndarray, int]:
     hold a feature are counted by a sketch over all documents, so a passage with many copies does not make
     its own words common.  Sketches are united by bitwise or, so the weights depend neither on the
     order of rows nor on the tasks.  Words in more than ``COMMON`` of the pieces weigh next to nothing.
-    One aggregate gives ``FEATURES`` + 1 rows at most; the last one sketches all pieces.
+    One aggregate gives ``FEATURES`` + 1 rows at most; the last one sketches all pieces.  The tasks estimate
+    the counts, and only those numbers come to the driver.
     """
     sketch = [f"s{i}" for i in range(REGISTERS // 2)]
 
@@ -106,109 +105,138 @@ def word_weights(docs: DataFrame) -> tuple[np.ndarray, int]:
             "feature": pa.array(hit, pa.int32()), "n": pa.array(np.where(hit == FEATURES, n_words, 0), pa.int64()),
             **{c: pa.array(packed[:, i].copy(), pa.int64()) for i, c in enumerate(sketch)}})
 
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            united = np.stack([batch.column(c).to_numpy() for c in sketch], axis=1).view(np.uint8)
+            found = [distinct_counts(np.unpackbits(united[k : k + BLOCK], axis=1)) for k in range(0, len(united), BLOCK)]
+            yield pa.record_batch({"feature": batch.column("feature"), "n": batch.column("n"),
+                                   "count": pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())})
+
     rows = docs.select(F.col("text").cast("binary")).mapInArrow(
         run, ", ".join(["feature int", "n long", *(f"{c} long" for c in sketch)])).groupBy("feature").agg(
-        F.sum("n").alias("n"), *[F.bit_or(c).alias(c) for c in sketch]).toPandas()
-    packed = np.ascontiguousarray(rows[sketch].to_numpy(dtype=np.int64)).view(np.uint8).reshape(len(rows), REGISTERS * 4)
+        F.sum("n").alias("n"), *[F.bit_or(c).alias(c) for c in sketch]).mapInArrow(
+        estimate, "feature int, n long, count double").toPandas()
     counts = np.zeros(FEATURES + 1)
-    counts[rows["feature"].to_numpy()] = distinct_counts(np.unpackbits(packed, axis=1))
+    counts[rows["feature"].to_numpy()] = rows["count"].to_numpy()
     pieces = counts[FEATURES]
     idf = np.log((1 + pieces) / (1 + counts[:FEATURES])) + np.log(min(1.0, max(COMMON, 20 / max(pieces, 1))))
     return np.maximum(idf, 0.05), int(rows["n"].sum())
 
 
-def passages(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of all passages of texts that start at ``at``: two halves each, the next one from the second half.
+def halves(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the halves of all texts that start at ``at``, the halves that begin a passage, and those with a second half.
 
-    A short end joins the half before it, and a text of one half is one passage.
+    A passage is a half and the next one of the same text.  A short end joins the half before it, and a
+    text of one half is one passage.
     """
     lengths = np.diff(at)
-    halves = -(-np.maximum(lengths - HALF // 2, 1) // HALF)
-    times = np.where(lengths > 0, np.maximum(halves - 1, 1), 0)
+    times = np.where(lengths > 0, -(-np.maximum(lengths - HALF // 2, 1) // HALF), 0)
     text = np.repeat(np.arange(len(lengths)), times)
     k = np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
-    start = at[:-1][text] + k * HALF
-    return start, np.where(k + 2 < halves[text], start + 2 * HALF, at[1:][text])
+    two = k + 1 < times[text]
+    return at[:-1][text] + k * HALF, np.flatnonzero(two | (times[text] == 1)), np.flatnonzero(two)
 
 
-def _sampled(docs: DataFrame, share: float, seed: int) -> DataFrame:
-    """Feature lists of the passages a hash of their words chooses, about ``share`` of all."""
-    limit = np.uint64(min(max(share, 0.0), 1.0) * (2**64 - 2**12))
+def group_sums(values: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of values[which], row by row, of the groups of ``which`` that begin at ``starts`` and cover it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = batch.column("text").to_pylist(), []
-            for a, b in chunks(texts):
-                words, at = word_hashes(texts[a:b])
-                if not len(words):
-                    continue
-                sums = np.zeros(len(words) + 1, dtype=np.uint64)
-                np.cumsum(words * np.uint64(2 * seed + 1), out=sums[1:])
-                start, end = passages(at)
-                for k in np.flatnonzero(sums[end] - sums[start] <= limit):
-                    found.append((words[start[k] : end[k]] & np.uint64(FEATURES - 1)).astype(np.int32))
-            yield pa.record_batch({"features": pa.array(found, pa.list_(pa.int32()))})
+    The groups are taken by falling size and their members rank by rank, so that no list of all members
+    is made; the few largest groups are finished one at a time.
+    """
+    sizes = np.diff(np.append(starts, len(which)))
+    order = np.argsort(-sizes, kind="stable")
+    first, falling = starts[order], -sizes[order]
+    total = np.zeros((len(starts), values.shape[1]), dtype=np.float32)
+    rank, left = 0, len(starts)
+    while left > 64:
+        total[:left] += values[which[first[:left] + rank]]
+        rank += 1
+        left = int(np.searchsorted(falling, -rank))
+    for i in range(left):
+        for k in range(first[i] + rank, first[i] - falling[i], 4096):
+            total[i] += values[which[k : min(k + 4096, first[i] - falling[i])]].sum(axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "features array<int>")
 
+def passage_product(words: np.ndarray, at: np.ndarray, weight: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features, and their rows of A'A right, for the unit TF-IDF rows A of all passages of the texts.
 
-def _gram_product(sample: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A' A right for the TF-IDF rows A of the sample: partial products per task, summed by block of features."""
+    ``side`` holds the rows of the right matrix times their weight; the rows returned still lack their
+    feature's weight.  A passage's image is the sum of its halves, so each word is read and written once.
+    """
+    features = (words & np.uint64(FEATURES - 1)).astype(np.uint16)
+    start, first, two = halves(at)
+    norm = np.add.reduceat((weight * weight)[features], start)  # squared
+    norm[two] += norm[two + 1]
+    image = group_sums(side, features, start)
+    image[two] += image[two + 1]
+    image /= np.maximum(norm, 1e-18)[:, None]
+    back = np.zeros_like(image)
+    back[first] = image[first]
+    back[two + 1] += image[two]
+    half = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(words))))
+    by = np.argsort(features, kind="stable")
+    ordered = features[by]
+    each = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[each], group_sums(back, half[by], each)
+
+
+def _gram_product(texts: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A' A right for the TF-IDF rows A of all passages: partial products per task, summed by block of features."""
     width = right.shape[1]
-    context = sample.sparkSession.sparkContext
-    sent = context.broadcast((idf.astype(np.float32), right.astype(np.float32)))
+    context = texts.sparkSession.sparkContext
+    weight = idf.astype(np.float32)
+    sent = context.broadcast((weight, right.astype(np.float32) * weight[:, None]))
+    fields = "block int, part binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, side = sent.value
-        total = np.zeros((FEATURES, width), dtype=np.float32)
+        total = np.zeros((FEATURES, width))
         for batch in batches:
-            column = batch.column("features")
-            sizes = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy()
-            if not len(flat):
-                continue
-            starts = np.cumsum(sizes) - sizes
-            values = weight[flat]
-            norm = np.sqrt(np.add.reduceat(values * values, starts))
-            values = values / np.maximum(np.repeat(norm, sizes), 1e-9)
-            image = np.add.reduceat(values[:, None] * side[flat], starts, axis=0)
-            back = values[:, None] * np.repeat(image, sizes, axis=0)
-            by = np.argsort(flat, kind="stable")
-            ordered = flat[by]
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            total[ordered[first]] += np.add.reduceat(back[by], first, axis=0)
+            found = batch.column("text").to_pylist()
+            for a, b in chunks(found):
+                words, at = word_hashes(found[a:b])
+                if len(words):
+                    features, rows = passage_product(words, at, weight, side)
+                    total[features] += rows
         for k in range(0, FEATURES, BLOCK):
-            part = total[k : k + BLOCK]
+            part = total[k : k + BLOCK].astype(np.float32)
             if part.any():
+                part *= weight[k : k + BLOCK, None]
                 yield pa.record_batch({"block": pa.array([k], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p, dtype=np.float32) for p in table.column("part").to_pylist())
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([total.tobytes()], pa.binary())})
-
-    rows = sample.mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(
-        add, "block int, part binary").collect()  # FEATURES x width numbers, whatever the sample
-    out = np.zeros((FEATURES, width), dtype=np.float64)
-    for r in rows:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # the blocks of one task, however many parts they have
+        for batch in batches:
+            for k, part in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(part, dtype=np.float32).astype(np.float64)
+        for k, part in total.items():
+            yield pa.record_batch({"block": pa.array([k], pa.int32()),
+                                   "part": pa.array([part.astype(np.float32).tobytes()], pa.binary())})
+
+    tasks = PRODUCT_TASKS * context.defaultParallelism  # each sends one matrix, so input splits share them
+    parts = texts.select(F.col("text").cast("binary")).coalesce(tasks).mapInArrow(run, fields)
+    out = np.zeros((FEATURES, width))
+    for r in parts.repartition("block").mapInArrow(add, fields).collect():  # FEATURES x width numbers, whatever the corpus
         out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["part"], dtype=np.float32).reshape(-1, width)
     sent.unpersist()
     return out
 
 
-def latent_space(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, n_words: int, seed: int = 5) -> np.ndarray:
+def latent_space(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """FEATURES x RANK matrix from words to the latent space, with idf weights, by randomised SVD.
 
     A random matrix is multiplied with A'A (one power step), made orthonormal, and turned to
-    the eigenvectors of the small projected matrix.  A holds all passages of the benchmark and
-    about ``SAMPLE`` of the corpus, chosen by hash.
+    the eigenvectors of the small projected matrix.  A holds all passages of the benchmark and of
+    the corpus; it is not stored, both products read the texts.
     """
-    share = SAMPLE * HALF / max(n_words, 1)
-    rows = _sampled(benchmark, 1.0, seed).unionByName(_sampled(docs, share, seed))
-    sample = stage(rows.repartition(SAMPLE_TASKS), "latent-sample")
+    texts = benchmark.select("text").unionByName(docs.select("text"))
     width = RANK + EXTRA
     basis = np.random.default_rng(seed).standard_normal((FEATURES, width))
-    basis, _ = np.linalg.qr(_gram_product(sample, idf, basis))
-    small = basis.T @ _gram_product(sample, idf, basis)
+    basis, _ = np.linalg.qr(_gram_product(texts, idf, basis))
+    small = basis.T @ _gram_product(texts, idf, basis)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(values)[::-1][:RANK]
     # left singular vectors: no direction outweighs another, so the language of a text does not decide
@@ -218,6 +246,17 @@ def latent_space(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, n_words
     return (idf[:, None] * (basis @ (turn[:, top] * scale))).astype(np.float32)
 
 
+def running_sums(values: np.ndarray, which: np.ndarray, dtype: type) -> np.ndarray:
+    """Sums of the first 0, 1, ... rows of values[which]: inside blocks of 16 rows, then over the blocks."""
+    sums = np.zeros((1 + -(-len(which) // 16) * 16, values.shape[1]), dtype=dtype)
+    sums[1 : len(which) + 1] = values[which]
+    blocks = sums[1:].reshape(-1, 16, values.shape[1])
+    for k in range(1, 16):
+        blocks[:, k] += blocks[:, k - 1]
+    blocks[1:] += np.cumsum(blocks[:-1, -1], axis=0)[:, None]
+    return sums[: len(which) + 1]
+
+
 @dataclass
 class Item:
     item_id: int
@@ -280,27 +319,40 @@ def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, l
         own, levels, vocabulary, flat, lengths, space = sent.value
         first_word = np.cumsum(lengths) - lengths
 
-        def possible(words: np.ndarray) -> np.ndarray:
-            """The items of which a text has enough words anywhere."""
+        def possible(words: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
+            """The texts that have enough words of some item anywhere, and those items; no other text can be verified."""
             place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-            held = np.zeros(len(vocabulary), dtype=np.int32)
-            held[place[vocabulary[place] == words]] = 1
-            return np.add.reduceat(held[flat], first_word) >= least * lengths
+            hit, found = vocabulary[place] == words, {}
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                held = np.zeros(len(vocabulary), dtype=np.int32)
+                held[place[a:b][hit[a:b]]] = 1
+                able = np.add.reduceat(held[flat], first_word) >= least * lengths
+                if able.any():
+                    found[i] = able
+            return found
 
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             rows = []
-            for a, b in chunks(texts, 1 << 18):
+            for a, b in chunks(texts):
                 words, at = word_hashes(texts[a:b])
-                if not len(words):
+                able = possible(words, at)
+                if not able:
                     continue
+                chosen = np.array(list(able))
+                mine = np.zeros(b - a, dtype=bool)
+                mine[chosen] = True
+                words, at = words[np.repeat(mine, np.diff(at))], np.append(0, np.cumsum(np.diff(at)[chosen]))
+                known = [set(np.flatnonzero(x).tolist()) for x in able.values()]
                 # running sums, so that a window of any size is one difference
-                sums = np.zeros((len(words) + 1, space.shape[1]), dtype=np.float32 if len(words) < 1 << 17 else np.float64)
-                np.cumsum(space[(words & np.uint64(FEATURES - 1)).astype(np.int64)], axis=0, out=sums[1:])
-                known: dict[int, np.ndarray] = {}
+                sums = running_sums(space, (words & np.uint64(FEATURES - 1)).astype(np.int64),
+                                    np.float32 if len(words) < 1 << 17 else np.float64)
                 best: dict[tuple[int, int], list] = {}
                 for size, which, columns in levels:
                     text, start, end = windows(at, size)
+                    wanted = set(which.tolist())
+                    able_here = np.array([not wanted.isdisjoint(x) for x in known])[text]
+                    text, start, end = text[able_here], start[able_here], end[able_here]
                     for k in range(0, len(text), 4096):
                         placed = sums[end[k : k + 4096]] - sums[start[k : k + 4096]]
                         norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", placed, placed)), 1e-9)
@@ -308,13 +360,11 @@ def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, l
                         near /= norm[:, None]
                         for p, q in zip(*(x.tolist() for x in np.nonzero(near >= cosine))):
                             i, item = int(text[k + p]), int(which[q])
-                            if i not in known:
-                                known[i] = possible(words[at[i] : at[i + 1]])
-                            if known[i][item]:
+                            if item in known[i]:
                                 best.setdefault((i, item), []).append((float(near[p, q]), int(start[k + p] - at[i]), int(end[k + p] - at[i])))
                 for (i, item), places in best.items():
                     # neighbouring windows share their region: the best one of each region is enough
-                    mine = words[at[i] : at[i + 1]]
+                    text_words = words[at[i] : at[i + 1]]
                     places.sort(reverse=True)
                     tried: list[int] = []
                     reach = len(own[item].words) // 2
@@ -322,9 +372,9 @@ def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, l
                         if any(abs(first - t) <= reach for t in tried):
                             continue
                         tried.append(first)
-                        found = verify(mine, first, last, own[item])
+                        found = verify(text_words, first, last, own[item])
                         if found:
-                            rows.append((ids[a + i], own[item].item_id, score, *found, len(own[item].words)))
+                            rows.append((ids[a + int(chosen[i])], own[item].item_id, score, *found, len(own[item].words)))
                             break
             yield pa.record_batch({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()), "item_id": pa.array([r[1] for r in rows], pa.int64()),
@@ -343,10 +393,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, loos
     """Pairs of documents and benchmark items whose passage the document holds, verbatim or paraphrased.
 
     1. Frequencies of hashed words, over all documents (``word_weights``).
-    2. A latent space from a distributed randomised SVD of TF-IDF passages (``latent_space``).
-    3. Windows of every whole document, as long as an item and a quarter apart (``windows``), are placed
+    2. A latent space from a distributed randomised SVD of the TF-IDF passages of all texts (``latent_space``).
+    3. Windows of whole documents, as long as an item and a quarter apart (``windows``), are placed
        in it and compared with the items of that length, which go to the tasks in blocks of
-       ``ITEM_BLOCK``; the cosine selects.
+       ``ITEM_BLOCK``; the cosine selects.  A document without enough words of any such item, wherever they
+       stand, cannot pass step 4 and is not placed.
     4. A selected region counts if the longest common subsequence with the item has ``share`` of its
        words, or ``loose`` of them and the item's answer (its last sentence) whole.
 
@@ -356,8 +407,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, loos
     tables give no rows.  Other columns are ignored.
     """
     keyed = benchmark.select("item_id", F.col("text").cast("string"))
-    idf, n_words = word_weights(docs)
-    space = latent_space(docs.select("text"), keyed.select("text"), idf, n_words)
+    idf, _ = word_weights(docs)
+    space = latent_space(docs, keyed, idf)
     found = None
     block: list[Item] = []
 

@@ -4,11 +4,13 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from spellpanel.llm import decontaminate, extraction, langid, mixing, neardup, quality, queries, sharding, tokens
+from spellpanel.llm.arrays import word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string"
 ODD = [(1, None, None, None), (2, "", "en", None), (None, "a b c", None, "s1"), (3, "a b c", "en", "s1"),
@@ -264,6 +266,37 @@ def test_marks_alone_are_no_letters():
     assert langid.grams(["\u0301\u0301 12", "e\u0301", "\u5929", "\u3002", None])[2] == [False, True, True, False, False]
 
 
+def test_latent_space_is_fitted_on_every_passage(spark):
+    """A word of one text among many shapes the space, and products over halves are those of whole passages."""
+    pick = np.random.default_rng(3).integers(0, 400, (30_000, 24))
+    texts = [" ".join(f"word{k}" for k in row) for row in pick]
+    for i in range(100):
+        texts[i * 300] += f" rare{i}"
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    idf, n = decontaminate.word_weights(docs)
+    space = decontaminate.latent_space(docs, docs.limit(0), idf)
+    rare, _ = word_hashes([" ".join(f"rare{i}" for i in range(100)).encode()])
+    assert n == 30_000 * 24 + 100
+    assert np.abs(space[(rare % np.uint64(decontaminate.FEATURES)).astype(int)]).max(axis=1).min() > 0
+
+    words, at = word_hashes([t.encode() for t in [" ".join(texts[:5]), "", "one", texts[7], " ".join(texts[8:70])]])
+    weight = np.random.default_rng(4).random(decontaminate.FEATURES).astype(np.float32) + np.float32(0.1)
+    right = np.random.default_rng(5).standard_normal((decontaminate.FEATURES, 3)).astype(np.float32)
+    features, rows = decontaminate.passage_product(words, at, weight, right * weight[:, None])
+    got, want = np.zeros(right.shape), np.zeros(right.shape)
+    got[features] = rows * weight[features, None]
+    for a, b in zip(at[:-1], at[1:]):
+        k = max(-(-max(b - a - 6, 1) // 12), 1)  # halves of twelve words; a shorter end belongs to the last one
+        edges = [a + 12 * i for i in range(k)] + [b]
+        for i in range(max(k - 1, 1) if b > a else 0):
+            f = (words[edges[i] : edges[min(i + 2, k)]] % np.uint64(decontaminate.FEATURES)).astype(int)
+            row = np.zeros(decontaminate.FEATURES)
+            np.add.at(row, f, weight[f])
+            row /= np.sqrt((weight[f].astype(float) ** 2).sum())
+            want += np.outer(row, row @ right)
+    assert np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+
+
 def test_leaks_without_id(spark, small):
     """A row without an id, or of an id that another text has too, is judged by its own text."""
     items = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").limit(2)
