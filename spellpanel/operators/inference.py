@@ -352,6 +352,7 @@ def inference_table(
     weights: DataFrame | None = None,
     key_times: Sequence[int] | None = KEY_TIMES,
     alpha: float = 0.05,
+    skip_short: bool = False,
 ) -> DataFrame:
     """All six levels of every model, with intervals, p-values and percent change.
 
@@ -361,7 +362,8 @@ def inference_table(
     small.
 
     Keyed by ``model``, ``level`` and ``period``; :func:`published_layout` gives
-    the 22-column form.  A model whose post period is shorter than the key times has no rows.
+    the 22-column form.  Key times past the post period of a model are an error; with ``skip_short`` that
+    model has no rows and the others keep theirs.
     """
     z_value(alpha)
     units, meta = fit["fit_units"], fit["fit_meta"]
@@ -370,6 +372,8 @@ def inference_table(
     else:
         window = KeyWindow.of(key_times)
         able = models_with_window(window, units, meta)
+        if not skip_short and not model_windows(units, meta).filter(F.col("post") < window.last).isEmpty():
+            raise ValueError("key times reach past the post period of a model")
         fit = {name: df.join(able, "model", "left_semi") for name, df in fit.items()}
         units, boot = fit["fit_units"], boot.join(able, "model", "left_semi")
     cells = stage(with_weights(stagger(fit["fit_cells"], units), weights), "staggered_cells")

@@ -32,7 +32,7 @@ def _draws(fit):
 
 def _table(spark, sf):
     kept, fit = chain.fit(spark, sf)
-    return I.inference_table(fit, _draws(fit), kept, KEY_TIMES)
+    return I.inference_table(fit, _draws(fit), kept, KEY_TIMES, skip_short=True)
 
 
 # --------------------------------------------------------------------- models
