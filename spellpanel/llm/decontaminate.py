@@ -23,8 +23,8 @@ WINDOWS = (4, 6)
 FEATURES = 1 << 15
 #: Latent dimensions, and extra ones of the random projection.
 RANK, EXTRA = 64, 16
-#: Tasks a core that multiply all passages, and features per block of a product.
-PRODUCT_TASKS, BLOCK = 2, 512
+#: Tasks a core that multiply all passages, features per block of a product, and chunks of texts multiplied at once.
+PRODUCT_TASKS, BLOCK, JOINED = 2, 512, 8
 #: Benchmark items sent to the tasks together; a larger benchmark goes in several blocks.
 ITEM_BLOCK = 5_000
 #: Share of the largest eigenvalue up to which another one is rounding noise.
@@ -146,10 +146,11 @@ def group_sums(values: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.
     sizes = np.diff(np.append(starts, len(which)))
     order = np.argsort(-sizes, kind="stable")
     first, falling = starts[order], -sizes[order]
-    total = np.zeros((len(starts), values.shape[1]), dtype=np.float32)
-    rank, left = 0, len(starts)
+    total = values.take(which[first], axis=0, mode="clip")  # no place is outside; clip lets take write without a copy
+    member = np.empty_like(total)
+    rank, left = 1, int(np.searchsorted(falling, -1))
     while left > 64:
-        total[:left] += values[which[first[:left] + rank]]
+        total[:left] += values.take(which[first[:left] + rank], axis=0, out=member[:left], mode="clip")
         rank += 1
         left = int(np.searchsorted(falling, -rank))
     for i in range(left):
@@ -160,6 +161,16 @@ def group_sums(values: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.
     return out
 
 
+def joined_words(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``word_hashes`` of ``JOINED`` neighbouring chunks at a time: a feature in several of them is added up once."""
+    parts = [(a, b) for a, b in chunks(texts)]
+    for k in range(0, len(parts), JOINED):
+        found = [word_hashes(texts[a:b]) for a, b in parts[k : k + JOINED]]
+        before = np.cumsum([0, *(len(words) for words, _ in found)])
+        yield (np.concatenate([words for words, _ in found]),
+               np.concatenate([*(at[:-1] + n for (_, at), n in zip(found, before)), before[-1:]]))
+
+
 def passage_product(words: np.ndarray, at: np.ndarray, weight: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features, and their rows of A'A right, for the unit TF-IDF rows A of all passages of the texts.
 
@@ -173,9 +184,9 @@ def passage_product(words: np.ndarray, at: np.ndarray, weight: np.ndarray, side:
     image = group_sums(side, features, start)
     image[two] += image[two + 1]
     image /= np.maximum(norm, 1e-18)[:, None]
-    back = np.zeros_like(image)
-    back[first] = image[first]
-    back[two + 1] += image[two]
+    back, before = image, image[two]
+    back[np.setdiff1d(np.arange(len(start)), first, assume_unique=True)] = 0
+    back[two + 1] += before
     half = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(words))))
     by = np.argsort(features, kind="stable")
     ordered = features[by]
@@ -195,9 +206,7 @@ def _gram_product(texts: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nd
         weight, side = sent.value
         total = np.zeros((FEATURES, width))
         for batch in batches:
-            found = batch.column("text").to_pylist()
-            for a, b in chunks(found):
-                words, at = word_hashes(found[a:b])
+            for words, at in joined_words(batch.column("text").to_pylist()):
                 if len(words):
                     features, rows = passage_product(words, at, weight, side)
                     total[features] += rows
@@ -249,7 +258,7 @@ def latent_space(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, seed: i
 def running_sums(values: np.ndarray, which: np.ndarray, dtype: type) -> np.ndarray:
     """Sums of the first 0, 1, ... rows of values[which]: inside blocks of 16 rows, then over the blocks."""
     sums = np.zeros((1 + -(-len(which) // 16) * 16, values.shape[1]), dtype=dtype)
-    sums[1 : len(which) + 1] = values[which]
+    values.astype(dtype, copy=False).take(which, axis=0, out=sums[1 : len(which) + 1], mode="clip")
     blocks = sums[1:].reshape(-1, 16, values.shape[1])
     for k in range(1, 16):
         blocks[:, k] += blocks[:, k - 1]
@@ -264,7 +273,8 @@ class Item:
     answer: np.ndarray
 
     def __post_init__(self) -> None:
-        self.own = set(self.words.tolist())
+        self.listed = self.words.tolist()
+        self.own = set(self.listed)
 
 
 def answer_words(text: str) -> str:
@@ -275,6 +285,27 @@ def answer_words(text: str) -> str:
     return " ".join(text.split()[-5:])
 
 
+class Places:
+    """Where words stand in a sorted vocabulary: a table of their low bits, and a search where several words share an entry."""
+
+    def __init__(self, vocabulary: np.ndarray) -> None:
+        self.vocabulary = vocabulary
+        self.mask = np.uint64((1 << min(24, len(vocabulary).bit_length() + 4)) - 1)
+        entry = (vocabulary & self.mask).astype(np.int64)
+        self.table = np.zeros(int(self.mask) + 1, dtype=np.int32)
+        self.table[entry] = np.arange(len(vocabulary))
+        self.several = np.bincount(entry, minlength=len(self.table)) > 1
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words the vocabulary has, and the places of those."""
+        entry = (words & self.mask).astype(np.int64)
+        place = self.table[entry]
+        rest = np.flatnonzero(self.several[entry])
+        place[rest] = np.minimum(np.searchsorted(self.vocabulary, words[rest]), len(self.vocabulary) - 1)
+        hit = np.flatnonzero(self.vocabulary[place] == words)
+        return hit, place[hit]
+
+
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     places: dict[int, int] = {}
@@ -299,7 +330,10 @@ def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, l
     vocabulary, flat = np.unique(np.concatenate([i.words for i in items]), return_inverse=True)
     lengths = np.array([len(i.words) for i in items])
     least = min(share, loose)
-    sent = docs.sparkSession.sparkContext.broadcast((items, levels, vocabulary, flat, lengths, space))
+    # the fewest different words that can be enough words of some item
+    falling = [np.sort(np.unique(i.words, return_counts=True)[1])[::-1] for i in items]
+    fewest = min(int(np.searchsorted(np.append(0, np.cumsum(x)), least * x.sum())) for x in falling)
+    sent = docs.sparkSession.sparkContext.broadcast((items, levels, Places(vocabulary), flat, lengths, space))
 
     def verify(words: np.ndarray, first: int, last: int, item: Item) -> tuple[int, bool, int] | None:
         """Common words, whether the answer is among them, and where the region starts."""
@@ -307,7 +341,7 @@ def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, l
         a, b = max(0, first - n), min(len(words), last + n)
         region = words[a:b]
         held = item.own.intersection(region.tolist())
-        if sum(w in held for w in item.words.tolist()) < least * n:
+        if sum(map(held.__contains__, item.listed)) < least * n:
             return None
         common = common_length(item.words, region)
         answered = common_length(item.answer, region) == len(item.answer)
@@ -316,16 +350,18 @@ def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, l
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, levels, vocabulary, flat, lengths, space = sent.value
+        own, levels, places_of, flat, lengths, space = sent.value
         first_word = np.cumsum(lengths) - lengths
 
         def possible(words: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
             """The texts that have enough words of some item anywhere, and those items; no other text can be verified."""
-            place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-            hit, found = vocabulary[place] == words, {}
-            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                held = np.zeros(len(vocabulary), dtype=np.int32)
-                held[place[a:b][hit[a:b]]] = 1
+            hit, place = places_of.find(words)
+            bounds, found = np.searchsorted(hit, at).tolist(), {}
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if b - a < fewest:
+                    continue
+                held = np.zeros(len(places_of.vocabulary), dtype=np.int32)
+                held[place[a:b]] = 1
                 able = np.add.reduceat(held[flat], first_word) >= least * lengths
                 if able.any():
                     found[i] = able
