@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ MAX_VOCABULARY = 32 << 20
 PIECE = 1 << 16
 #: Text that is encoded at once; a longer text is a chunk of its own.
 CHUNK = 1 << 19
+#: Characters of distinct pieces whose tokens a task remembers.
+KNOWN = 1 << 21
 #: A pair with more than this share of all (document, pair) rows is looked up in a broadcast; there
 #: can be no more such pairs than the share's inverse.
 HOT = 200_000
@@ -143,6 +146,79 @@ def _encode_first(first, texts: list[str]) -> list[list[int]]:
     return [[i for x in split_text(t) for i in first.encode_batch_fast([x], add_special_tokens=False)[0].ids] for t in texts]
 
 
+class Remembered:
+    """Ids of texts by the first tokenizer, which is asked once for each distinct piece between lone spaces.
+
+    A lone space starts a pre-token (see ``split_text``), so a text's tokens are those of its pieces.  Tokenizers
+    that do more than split at the byte-level pattern encode whole texts.
+    """
+
+    def __init__(self, first, bytes_a: list[bytes], len_a: np.ndarray, limit: int = KNOWN) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.first, self.bytes_a, self.len_a, self.limit = first, bytes_a, len_a, limit
+        split = first.pre_tokenizer
+        self.apart = (first.normalizer is None and isinstance(split, ByteLevel) and split.use_regex
+                      and not split.add_prefix_space and not first.model.dropout
+                      and all(t.special for t in first.get_added_tokens_decoder().values()))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.held = 0
+        self.ids, self.sizes, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_a.__getitem__, ids))
+
+    def _add(self, pieces: list[str]) -> None:
+        """Tokens of new pieces: together if they give all bytes back, so that lengths tell them apart, else one by one."""
+        self.held += sum(map(len, pieces))
+        plain = [p for p in pieces if p and p.strip() == p]
+        joined = "".join([" " + p for p in plain])
+        ids = _encode_first(self.first, [joined])[0] if plain else []
+        if self._bytes(ids) == joined.encode():
+            ends = np.cumsum(self.len_a[np.array(ids, dtype=np.int64)])
+            lengths = map(len, plain if joined.isascii() else [p.encode() for p in plain])
+            last = np.searchsorted(ends, np.cumsum(np.fromiter(lengths, np.int64, len(plain)) + 1))
+            self._keep(plain, ids, np.diff(last, prepend=-1), np.ones(len(plain), dtype=bool))
+            pieces = [p for p in pieces if not p or p.strip() != p] if len(plain) < len(pieces) else []
+        if pieces:
+            whole = [" " + p for p in pieces]
+            found = _encode_first(self.first, whole)
+            self._keep(pieces, list(chain.from_iterable(found)), np.array(list(map(len, found))),
+                       np.array([self._bytes(x) == t.encode() for x, t in zip(found, whole, strict=True)]))
+
+    def _keep(self, pieces: list[str], ids: list[int], sizes: np.ndarray, same: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
+        self.ids = np.append(self.ids, np.array(ids, dtype=np.int64))
+        self.sizes, self.same = np.append(self.sizes, sizes.astype(np.int64)), np.append(self.same, same)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text; none if the text is empty or the ids do not give it back byte by byte."""
+        if not self.apart:
+            whole = [" " + t if t else "" for t in texts]
+            found = _encode_first(self.first, whole)
+            return [np.array(x if self._bytes(x) == t.encode() else [], np.int64) for x, t in zip(found, whole, strict=True)]
+        if self.held > self.limit:
+            self.forget()
+        pieces = [_SINGLE_SPACE.split(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(pieces))
+        if new := list(set(flat).difference(self.place)):
+            self._add(new)
+        which = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        sizes, begin = self.sizes[which], (np.cumsum(self.sizes) - self.sizes)[which]
+        at = np.append(0, np.cumsum(sizes))
+        ids = self.ids[np.repeat(begin - at[:-1], sizes) + np.arange(at[-1])]
+        bounds = np.cumsum([0, *map(len, pieces)])
+        wrong = np.diff(np.append(0, np.cumsum(~self.same[which]))[bounds]) > 0
+        found = [ids[a:b] for a, b in zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist(), strict=True)]
+        for k in np.flatnonzero(wrong).tolist():
+            if self._bytes(found[k].tolist()) != (" " + texts[k]).encode():
+                found[k] = ids[:0]
+        return found
+
+
 def _digits(n: int) -> np.ndarray:
     """Decimal digits of 0 to n - 1, one row each, zero bytes after the last digit."""
     width = len(str(n))
@@ -152,11 +228,11 @@ def _digits(n: int) -> np.ndarray:
 # -------------------------------------------------------------------- the chunks
 
 
-def _starts(tokens: list[list[int]]) -> np.ndarray:
+def _starts(tokens: list[np.ndarray]) -> np.ndarray:
     return np.cumsum([0, *map(len, tokens)])
 
 
-def aligned_chunk(ids_a: list[list[int]], ids_b: list[list[int]], len_a: np.ndarray, len_b: np.ndarray,
+def aligned_chunk(ids_a: list[np.ndarray], ids_b: list[np.ndarray], len_a: np.ndarray, len_b: np.ndarray,
                   digits: np.ndarray, size: int = PIECE):
     """Counts, group strings and distinct links of texts laid end to end (both series end with each text).
 
@@ -164,17 +240,16 @@ def aligned_chunk(ids_a: list[list[int]], ids_b: list[list[int]], len_a: np.ndar
     (``a * MAX_ID + b``, ascending) with their numbers of occurrences.
     """
     at_a, at_b = _starts(ids_a), _starts(ids_b)
-    flat_a = np.fromiter((i for x in ids_a for i in x), np.int64, at_a[-1])
-    flat_b = np.fromiter((i for x in ids_b for i in x), np.int64, at_b[-1])
+    flat_a, flat_b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64, copy=False) for x in (ids_a, ids_b))
     link_a, link_b, cut_a, cut_b = overlaps(np.cumsum(len_a[flat_a]), np.cumsum(len_b[flat_b]), size)
     n = len(ids_a)
     groups = np.searchsorted(cut_a, at_a, "right")  # groups that end by the start of each text
-    of = np.searchsorted(at_a, link_a, "right") - 1  # text of each link; texts without tokens are passed over
+    of = np.repeat(np.arange(n), np.diff(at_a))[link_a]  # text of each link
     n_links = np.bincount(of, minlength=n)
 
     # place of each token in the string: by group, a's tokens first
     i, j = np.arange(len(flat_a)), np.arange(len(flat_b))
-    group_a, group_b = np.searchsorted(cut_a, i, "right"), np.searchsorted(cut_b, j, "right")
+    group_a, group_b = (np.cumsum(np.bincount(cut, minlength=len(x) + 1))[:-1] for cut, x in ((cut_a, i), (cut_b, j)))
     place_a, place_b = i + np.append(0, cut_b)[group_a], j + cut_a[group_b]
     ids = np.empty(len(i) + len(j), dtype=np.int64)
     mark = np.full(len(ids), ord(","), dtype=np.uint8)
@@ -183,7 +258,7 @@ def aligned_chunk(ids_a: list[list[int]], ids_b: list[list[int]], len_a: np.ndar
     ends = (at_a + at_b)[1:]
     mark[ends[np.diff(at_a) > 0] - 1] = 0
     cells = np.concatenate([digits[ids], mark[:, None]], axis=1)
-    used = np.append(0, np.cumsum(np.count_nonzero(cells, axis=1)))
+    used = np.append(0, np.cumsum(np.count_nonzero(digits, axis=1)[ids] + (mark > 0)))
     text = cells[cells != 0]
     strings = pa.StringArray.from_buffers(
         n, pa.py_buffer(used[at_a + at_b].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
@@ -233,15 +308,14 @@ def align_tokens(docs: DataFrame, vocabulary_a: str, model_b: str, size: int = P
         first, bytes_a, second, bytes_b = _load(*raw.value)
         len_a, len_b = (np.array([len(x) for x in v], dtype=np.int64) for v in (bytes_a, bytes_b))
         digits = _digits(max(len(bytes_a), len(bytes_b)))
+        encoder = Remembered(first, bytes_a, len_a)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in chunks([t.encode() for t in texts], CHUNK):
-                whole = [" " + t if t else "" for t in texts[lo:hi]]
-                ids_a, ids_b = _encode_first(first, whole), second.encode(texts[lo:hi], num_threads=1)
-                for k, t in enumerate(whole):
-                    want = t.encode()
-                    if b"".join(map(bytes_a.__getitem__, ids_a[k])) != want or b"".join(map(bytes_b.__getitem__, ids_b[k])) != want:
-                        ids_a[k], ids_b[k] = [], []
+                ids_a, ids_b = encoder.encode(texts[lo:hi]), second.encode(texts[lo:hi], out_type="numpy", num_threads=1)
+                for k, t in enumerate(texts[lo:hi]):
+                    if not len(ids_a[k]) or b"".join(map(bytes_b.__getitem__, ids_b[k].tolist())) != b" " + t.encode():
+                        ids_a[k], ids_b[k] = ids_a[k][:0], ids_b[k][:0]
                 n_groups, n_links, strings, links = aligned_chunk(ids_a, ids_b, len_a, len_b, digits, size)
                 yield pa.record_batch({
                     "rid": batch.column("rid").slice(lo, hi - lo), "doc_id": batch.column("doc_id").slice(lo, hi - lo),

@@ -111,3 +111,35 @@ def test_empty_table_and_long_word(spark):
     rows = [(1, "ab" * 40_000), (2, "z " * 300_000)]
     got = {r["doc_id"]: r for r in A.alignment_digest(spark.createDataFrame(rows, SCHEMA), VOCABULARY, MODEL).collect()}
     assert got[1]["n_groups"] > 0 and got[2]["n_links"] >= 300_000 and got[2]["n_best"] <= got[2]["n_links"]
+
+
+def test_pieces_remembered_give_the_tokens_of_whole_texts():
+    with open(MODEL, "rb") as f, open(VOCABULARY, "rb") as g:
+        first, bytes_a, _, _ = A._load(g.read(), f.read())
+    len_a = np.array([len(x) for x in bytes_a])
+    texts = [
+        "Some words, then 12 more:  two blanks\n\nand lines. Don't split 'em. x y ", "", " ", "  lead", "trail \n ", "\n a \n b\n",
+        "tab\t x \t y\x1c z \x1f q  r  s 　 t", "café 你好 <|endoftext|> a<|endoftext|> b", "end", "\u0085 n ​ m", "some some words",
+    ] * 2
+    whole = [first.encode(" " + t, add_special_tokens=False).ids if t else [] for t in texts]
+    for limit in (0, 10**9):  # forgotten before each call, and kept
+        told = A.Remembered(first, bytes_a, len_a, limit)
+        assert told.apart
+        for part in (slice(0, 9), slice(5, None), slice(0, None)):
+            assert [x.tolist() for x in told.encode(texts[part])] == whole[part]
+    asked = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(first, name)
+
+        def encode_batch_fast(self, batch, **options):
+            asked.extend(batch)
+            return first.encode_batch_fast(batch, **options)
+
+    told = A.Remembered(Counting(), bytes_a, len_a)
+    told.encode(["one two two one"] * 100)
+    assert sum(map(len, asked)) == len(" one two")
+    missing = [b"" if x == b" two" else x for x in bytes_a]  # a token that does not give its bytes back
+    told = A.Remembered(first, missing, len_a)
+    assert [len(x) for x in told.encode(["one two", "one", "two three"])] == [0, 1, 0]
