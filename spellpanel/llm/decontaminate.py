@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,12 +195,15 @@ def passage_product(words: np.ndarray, at: np.ndarray, weight: np.ndarray, side:
     return ordered[each], group_sums(back, half[by], each)
 
 
-def _gram_product(texts: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A' A right for the TF-IDF rows A of all passages: partial products per task, summed by block of features."""
-    width = right.shape[1]
+def _gram_product(texts: DataFrame, weight: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """A' A right for the TF-IDF rows A of all passages: partial products per task, summed by block of features.
+
+    ``side`` holds the rows of the right matrix times their weight.  The sums are written, and the driver
+    reads them a few blocks at a time into the one matrix it returns.
+    """
+    width = side.shape[1]
     context = texts.sparkSession.sparkContext
-    weight = idf.astype(np.float32)
-    sent = context.broadcast((weight, right.astype(np.float32) * weight[:, None]))
+    sent = context.broadcast((weight, side))
     fields = "block int, part binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,32 +231,57 @@ def _gram_product(texts: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nd
 
     tasks = PRODUCT_TASKS * context.defaultParallelism  # each sends one matrix, so input splits share them
     parts = texts.select(F.col("text").cast("binary")).coalesce(tasks).mapInArrow(run, fields)
-    out = np.zeros((FEATURES, width))
-    for r in parts.repartition("block").mapInArrow(add, fields).collect():  # FEATURES x width numbers, whatever the corpus
+    summed = stage(parts.repartition("block").mapInArrow(add, fields), "leaks-product")
+    sent.destroy()
+    out = np.zeros((FEATURES, width), dtype=np.float32)
+    for r in summed.toLocalIterator():  # FEATURES x width numbers, whatever the corpus
         out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["part"], dtype=np.float32).reshape(-1, width)
-    sent.unpersist()
     return out
 
 
+def orthonormal(image: np.ndarray) -> np.ndarray:
+    """Orthonormal basis of the columns: QR of each ``BLOCK`` rows, then of their triangles, so only a block is copied at a time."""
+    width, blocks = image.shape[1], range(0, len(image), BLOCK)
+    basis = np.empty(image.shape)
+    triangles = np.empty((len(blocks), width, width))
+    for i, k in enumerate(blocks):
+        basis[k : k + BLOCK], triangles[i] = np.linalg.qr(image[k : k + BLOCK].astype(np.float64))
+    turns = np.linalg.qr(triangles.reshape(-1, width))[0].reshape(-1, width, width)
+    for k, turn in zip(blocks, turns, strict=True):
+        basis[k : k + BLOCK] = basis[k : k + BLOCK] @ turn
+    return basis
+
+
 def latent_space(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """FEATURES x RANK matrix from words to the latent space, with idf weights, by randomised SVD.
 
     A random matrix is multiplied with A'A (one power step), made orthonormal, and turned to
     the eigenvectors of the small projected matrix.  A holds all passages of the benchmark and of
-    the corpus; it is not stored, both products read the texts.
+    the corpus; it is not stored, both products read the texts.  The driver works block by block and
+    holds one double and two single precision matrices at most.
     """
     texts = benchmark.select("text").unionByName(docs.select("text"))
-    width = RANK + EXTRA
-    basis = np.random.default_rng(seed).standard_normal((FEATURES, width))
-    basis, _ = np.linalg.qr(_gram_product(texts, idf, basis))
-    small = basis.T @ _gram_product(texts, idf, basis)
+    width, weight, draw = RANK + EXTRA, idf.astype(np.float32), np.random.default_rng(seed)
+    blocks = [slice(k, k + BLOCK) for k in range(0, FEATURES, BLOCK)]
+    side = np.empty((FEATURES, width), dtype=np.float32)
+    for k in blocks:
+        side[k] = draw.standard_normal((BLOCK, width))
+    side *= weight[:, None]
+    basis = orthonormal(_gram_product(texts, weight, side))
+    side[:] = basis
+    side *= weight[:, None]
+    image = _gram_product(texts, weight, side)
+    small = sum(basis[k].T @ image[k].astype(np.float64) for k in blocks)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(values)[::-1][:RANK]
     # left singular vectors: no direction outweighs another, so the language of a text does not decide
     # directions below the rounding of the single-precision products are noise and get none
     real = values[top] > values[top[0]] * NOISE
-    scale = np.where(real, 1 / np.sqrt(np.where(real, values[top], 1)), 0)
-    return (idf[:, None] * (basis @ (turn[:, top] * scale))).astype(np.float32)
+    columns = turn[:, top] * np.where(real, 1 / np.sqrt(np.where(real, values[top], 1)), 0)
+    space = np.empty((FEATURES, RANK), dtype=np.float32)
+    for k in blocks:
+        space[k] = idf[k, None] * (basis[k] @ columns)
+    return space
 
 
 def running_sums(values: np.ndarray, which: np.ndarray, dtype: type) -> np.ndarray:
@@ -321,8 +350,9 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, loose: float, cosine: float) -> DataFrame:
-    """Verified pairs of documents and a block of items."""
+def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, loose: float,
+          cosine: float) -> tuple[DataFrame, Broadcast]:
+    """Verified pairs of documents and a block of items, and what their tasks are sent."""
     vectors = np.stack([space[(i.words & np.uint64(FEATURES - 1)).astype(np.int64)].sum(axis=0) for i in items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     sizes = np.array([window_size(len(i.words)) for i in items])
@@ -421,7 +451,7 @@ def _find(docs: DataFrame, items: list[Item], space: np.ndarray, share: float, l
                 "item_words": pa.array([r[6] for r in rows], pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        run, "doc_id long, item_id long, cosine double, common_words long, answered boolean, region long, item_words long")
+        run, "doc_id long, item_id long, cosine double, common_words long, answered boolean, region long, item_words long"), sent
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, loose: float = 0.6,
@@ -442,15 +472,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, loos
     rows with the same id are one document, for which the row with most common words stays.  Empty
     tables give no rows.  Other columns are ignored.
     """
+    return _pairs(docs, benchmark, share, loose, cosine)[0]
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, share: float, loose: float,
+           cosine: float) -> tuple[DataFrame, list[Broadcast]]:
+    """The rows of ``contaminated``, and what their tasks are sent: kept by the driver until destroyed."""
     keyed = benchmark.select("item_id", F.col("text").cast("string"))
     idf, _ = word_weights(docs)
     space = latent_space(docs, keyed, idf)
     found = None
     block: list[Item] = []
+    sent: list[Broadcast] = []
 
     def add() -> None:
         nonlocal found, block
-        part = _find(docs, block, space, share, loose, cosine)
+        part, tables = _find(docs, block, space, share, loose, cosine)
+        sent.append(tables)
         found, block = part if found is None else found.unionByName(part), []
 
     for row in keyed.filter("text is not null").toLocalIterator():
@@ -464,16 +502,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, loos
         add()
     if found is None:
         return docs.sparkSession.createDataFrame([], (
-            "doc_id long, item_id long, cosine double, common_words long, answered boolean, region long, item_words long"))
+            "doc_id long, item_id long, cosine double, common_words long, answered boolean, region long, item_words long")), sent
     best = F.max(F.struct("common_words", "cosine", "answered", "region", "item_words")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", "b.cosine", "b.common_words", "b.answered", "b.region", "b.item_words")
+        "doc_id", "item_id", "b.cosine", "b.common_words", "b.answered", "b.region", "b.item_words"), sent
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, loose: float = 0.6,
                    cosine: float = COSINE) -> DataFrame:
     """The documents that hold no benchmark item, with all columns, whatever their names; each row is judged by its own text."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hit = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, share, loose, cosine).select(
-        F.col("doc_id").alias("_key")).distinct()
-    return unpacked(packed(docs, key.alias("_key")).join(stage(hit, "contaminated"), "_key", "left_anti"), docs.columns)
+    found, sent = _pairs(docs.select(key.alias("doc_id"), "text"), benchmark, share, loose, cosine)
+    hit = stage(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    for tables in sent:  # the keys are written
+        tables.destroy()
+    return unpacked(packed(docs, key.alias("_key")).join(hit, "_key", "left_anti"), docs.columns)

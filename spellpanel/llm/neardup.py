@@ -211,7 +211,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         return df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
 
-    def merged(found: DataFrame, extra: DataFrame) -> DataFrame:
+    def merged(found: DataFrame, further: DataFrame) -> DataFrame:
+        """The components with the links among further pairs; the same ones where there are none."""
+        extra = None if further.isEmpty() else stage(confirmed(further, sets, percent), "neardup-links")
+        if extra is None or extra.isEmpty():
+            return found
         known = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         return stage(components(extra.unionByName(known), "neardup-round"), "neardup-components")
 
@@ -221,11 +225,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     prefix = stage(prefixes(stage(unsettled, "neardup-unsettled"), sets, percent), "neardup-prefix")
     # outliers of a large group first meet its most central member, so that few are left for the full comparison
     central = stage(central_pairs(prefix, percent).join(pairs, ["a", "b"], "left_anti"), "neardup-central")
-    found = merged(found, stage(confirmed(central, sets, percent), "neardup-links"))
+    found = merged(found, central)
     prefix = placed(prefix.drop("component"), found)
     rest = crossing_pairs(prefix, percent).join(pairs, ["a", "b"], "left_anti").join(central, ["a", "b"], "left_anti")
-    final = merged(found, stage(confirmed(stage(rest, "neardup-rest"), sets, percent), "neardup-links"))
-    final = final.withColumnRenamed("node", "rep")
+    final = merged(found, stage(rest, "neardup-rest")).withColumnRenamed("node", "rep")
     named = lookup(signed.select("doc_id", "n_shingles", "set_key"), classes, "set_key", "w", "left")
     joined = named.join(final.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left")
     # an empty set is its own component, and so is a class without links
