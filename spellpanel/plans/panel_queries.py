@@ -21,7 +21,7 @@ from spellpanel.plans.sql import (
     specialty_counts_sql,
     specialty_stay_sql,
 )
-from spellpanel.session import stage
+from spellpanel.session import stage, stage_large
 from spellpanel.sources import proxy
 
 _COV = ["catchment_cat", "sex_male_pct", "white_pct", "age_65_plus_pct"]
@@ -136,7 +136,7 @@ def t03(spark, sf):
 
 @query("t04_treatment_staggered", "SELECT PROCODE3, month, hub_start_date, treated_unit, intervention FROM new_inputs")
 def t04(spark, sf):
-    panel = stage(chain.kept_panel(spark, sf), "panel")
+    panel = stage_large(chain.kept_panel(spark, sf), "panel")
     out = T.model_inputs(panel, proxy.unit_lookup(spark, sf), "new", proxy.CALENDAR)
     return out.select("PROCODE3", "month", "hub_start_date", "treated_unit", "intervention")
 
@@ -288,7 +288,7 @@ def a13(spark, sf):
     f"SELECT PROCODE3, time, {rnd('sum(n_activity)', 'var_sum')} FROM old_inputs GROUP BY PROCODE3, time",
 )
 def a14(spark, sf):
-    panel = stage(chain.kept_panel(spark, sf), "panel")
+    panel = stage_large(chain.kept_panel(spark, sf), "panel")
     old = T.model_inputs(panel, proxy.unit_lookup(spark, sf), "old", proxy.CALENDAR)
     return old.groupBy("PROCODE3", "time").agg(F.sum("n_activity").cast("double").alias("var_sum"))
 
