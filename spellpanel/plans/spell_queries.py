@@ -12,6 +12,7 @@ from spellpanel.operators.rules import flag_one
 from spellpanel.plans import chain
 from spellpanel.plans.registry import query
 from spellpanel.plans.sql import PATHWAYS
+from spellpanel.session import stage_large
 from spellpanel.sources import proxy
 from spellpanel.sources.tables import ATTRIBUTE_COLUMNS, EPISODE_COLUMNS
 
@@ -54,7 +55,9 @@ def d04(spark, sf):
 
 @query("d05_spell_summary", "SELECT spell_id, EPIKEY, spellstartdate, spellenddate FROM spells")
 def d05(spark, sf):
-    numbered = S.assign_spells(chain.prepared(spark, sf))
+    episodes = chain.prepared(spark, sf).select(*dict.fromkeys([*S.SPELL_KEY, *S.SPELL_ORDER]))
+    within = [c for c in S.SPELL_ORDER if c not in S.SPELL_KEY]
+    numbered = stage_large(S.assign_spells(episodes).select("spell_id", *within), "numbered")
     return S.spell_summary(numbered).select("spell_id", "EPIKEY", "spellstartdate", "spellenddate")
 
 
