@@ -1,8 +1,12 @@
 import datetime as dt
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from spellpanel.operators.relational import SLICE, sliced, slices
 from spellpanel.plans import chain
+from spellpanel.session import stage_folder, staged_large
 from spellpanel.sources import proxy
 
 
@@ -19,6 +23,40 @@ def test_staged_panel_leaves_no_shuffle_files(spark, small):
     assert rows.count() > 0
 
 
+def stage_tables(spark):
+    folder = Path(stage_folder(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_spell_table_leaves_one_stage_table(spark, small):
+    """Nothing that the finished table was made of stays on disk, and reading it moves nothing."""
+    files, tables = shuffle_files(spark), stage_tables(spark)
+    rows = chain.finished_spells(spark, small)
+    assert not shuffle_files(spark) - files
+    assert [n.split("-")[0] for n in stage_tables(spark) - tables] == ["finished"]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 3788
+
+
+def test_slices_hold_every_row_once(spark):
+    """Also rows without a key; what a key joins is in its slice."""
+    left = spark.createDataFrame([(i % 20 if i % 7 else None, i) for i in range(200)], "k int, a int")
+    right = spark.createDataFrame([(i, -i) for i in range(0, 30, 2)] + [(None, 0)], "k int, b int")
+    got = []
+    with staged_large(sliced(left, "k"), "left", SLICE) as x, staged_large(sliced(right, "k"), "right", SLICE) as y:
+        for p, q in slices(x, y):
+            got += p.join(q, "k", "left").collect()
+    assert sorted(map(str, got)) == sorted(map(str, left.join(right, "k", "left").collect()))
+
+
+def test_spell_summary_reads_one_stage_table(spark, small):
+    """Numbers and spans come from a stored table of numbered episodes, not from the joins that made it."""
+    files = shuffle_files(spark)
+    rows = entry.queries()["d05_spell_summary"](spark, small)
+    assert not shuffle_files(spark) - files
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+
+
 def test_episodes_move_as_lines(spark, small):
     """What goes to a person's task are the columns of the lines, once, not the episodes made of them."""
     plan = chain.prepared(spark, small)._jdf.queryExecution().executedPlan().toString()
